@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, lines, shards
+from . import decontam, exact, lines, packing, secrets, shards, tokenfiles
 
 QUERIES = {
+    "op1_hierarchical_packing": packing.op1_hierarchical_packing,
     "op2_hash_tree_shards": shards.op2_hash_tree_shards,
+    "op4_token_files": tokenfiles.op4_token_files,
+    "op5_blob_ledger": secrets.op5_blob_ledger,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_winnowing": decontam.op7_winnowing,
     "op10_line_dedup": lines.op10_line_dedup,
