@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exact, lines, packing, secrets, shards, tokenfiles
+from . import decontam, exact, lines, neardup, packing, secrets, shards, tokenfiles
 
 QUERIES = {
     "op1_hierarchical_packing": packing.op1_hierarchical_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_blob_ledger": secrets.op5_blob_ledger,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_winnowing": decontam.op7_winnowing,
+    "op9_circulant_minhash": neardup.op9_circulant_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
