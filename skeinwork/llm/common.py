@@ -43,13 +43,6 @@ def small_side(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def fresh(df: DataFrame, *names: str) -> None:
-    """Refuse helper column names that the input already has."""
-    clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if clash:
-        raise ValueError(f"reserved column names in the input: {sorted(clash)}")
-
-
 def gapless(df: DataFrame, group: list[str], order: list[str], slot: str, tag: str) -> DataFrame:
     """Number rows 0, 1, 2, ... within `group` in the order of `order`, without one task per group.
 

@@ -37,19 +37,21 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
 
     A null text stays null with 0 lines; a null host is a host of its own; other texts keep every
     remaining line and its spaces, joined by newlines. No row goes, though a text may become empty.
+    Input columns called n_lines or n_dropped give way to the results; others may have any name.
     """
     drops = stored(boilerplate_lines(pages, host, text, ratio, min_pages), "line-drops")
     by_host = drops.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_key").alias("_drop"))
     if drops.count() <= BROADCAST_DROPS:
         by_host = F.broadcast(by_host)
-    joined = pages.join(by_host, pages[host].eqNullSafe(F.col("_host")), "left")
-    split = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col("_drop").isNotNull(), F.filter(split, lambda x: ~F.array_contains(F.col("_drop"), _line_key(x))))
-    joined = joined.withColumn("_kept", kept)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")
-    n_dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(split) - F.size("_kept")).cast("long")
-    new = F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    return joined.select(*[new.alias(text) if c == text else F.col(c) for c in pages.columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    rows = pages.select(F.struct(*pages.columns).alias("row"), F.col(host).alias("_of"), F.split(F.col(text), "\n", -1).alias("_lines"))
+    joined = rows.join(by_host, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    kept = F.when(F.col("_drop").isNotNull(), F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), _line_key(x))))
+    joined = joined.select("row", "_lines", kept.alias("_kept"))
+    n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    n_dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
+    new = F.when(n_dropped == 0, F.col("row")[text]).otherwise(F.array_join("_kept", "\n"))
+    out = [new.alias(c) if c == text else F.col("row")[c].alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*out, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,8 @@ def vote(x: np.ndarray, references: np.ndarray, y: np.ndarray, prior: float) ->
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", references: int = REFERENCES) -> dict:
     """Document frequencies of all documents, and the basis, vectors and labels of about `references`
-    labelled ones (fewer: all of them). Their size is fixed by these parameters."""
+    labelled ones (fewer: all of them). Their size is fixed by these parameters. Null labels don't teach,
+    and of labels that repeat an id the largest does. Empty tables give an empty model, and prior one half."""
     n, df = document_frequencies(docs, text_col)
     idf = np.log((n + 1) / (df + 1)) + 1
 
@@ -114,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row; a text without words, and every text if nothing was labelled, gets
-    the share of label 1 among the references."""
+    the share of label 1 among the references. Null texts are empty; every row is scored by itself, and
+    columns beyond id and text are ignored."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable) -> Iterable:

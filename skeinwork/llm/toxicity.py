@@ -123,7 +123,9 @@ def features(ratios: np.ndarray) -> tuple[float, float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, calibration: int = CALIBRATION) -> tuple[np.ndarray, np.ndarray]:
     """The log ratio of every slot, and the calibration's weights. All teaching rows are counted; a
-    sample of them, each as if it had not been counted, fits the calibration."""
+    sample of them, each as if it had not been counted, fits the calibration. Null labels don't teach, of
+    labels that repeat an id the largest does, null texts are empty; with one class or no labels at all
+    every score is that class's smoothed share (one half without labels)."""
     counts, neighbours = gather(teaching_rows(docs, labels, label, id_col, text_col), bits)
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast((counts.astype(np.float32), neighbours.astype(np.float32)))
@@ -147,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
 
 def score(docs: DataFrame, ratios: np.ndarray, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, which must have no column toxic_score, and toxic_score (0 to 1)."""
+    """All columns of `docs` and toxic_score (0 to 1), which takes the place of a column of that name. A
+    text without words gets what the calibration says of no evidence."""
+    docs = docs.drop("toxic_score")
     shipped, bits = docs.sparkSession.sparkContext.broadcast((ratios, weights)), int(np.log2(len(ratios)))
     at = docs.columns.index(text_col)
 
