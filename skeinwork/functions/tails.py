@@ -6,12 +6,15 @@ from math import lgamma
 
 import numpy as np
 
-_LGAMMA = np.vectorize(lgamma, otypes=[float])
 _TINY = 1e-300
 
 
+def _log_gamma(x):
+    return np.vectorize(lgamma, otypes=[float])(x)
+
+
 def log_beta(a, b):
-    return _LGAMMA(a) + _LGAMMA(b) - _LGAMMA(np.add(a, b))
+    return _log_gamma(a) + _log_gamma(b) - _log_gamma(np.add(a, b))
 
 
 def log_incomplete_beta(a, b, x):
@@ -60,7 +63,7 @@ def log_gamma_tail(a, x):
             total = total + term
             if np.all(term < total * 1e-16):
                 break
-        out[low] = np.log1p(-np.minimum(total * np.exp(p * np.log(y) - y - _LGAMMA(p)), 1 - 1e-16))
+        out[low] = np.log1p(-np.minimum(total * np.exp(p * np.log(y) - y - _log_gamma(p)), 1 - 1e-16))
     if (~low).any():
         p, y = a[~low], x[~low]
         b, c = y + 1 - p, np.full_like(y, 1 / _TINY)
@@ -74,7 +77,7 @@ def log_gamma_tail(a, x):
             h *= d * c
             if np.all(np.abs(d * c - 1) < 1e-15):
                 break
-        out[~low] = p * np.log(y) - y - _LGAMMA(p) + np.log(h)
+        out[~low] = p * np.log(y) - y - _log_gamma(p) + np.log(h)
     return out
 
 
@@ -118,7 +121,7 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p of the table [[a, b], [c, d]]: all tables of its margins that are no likelier."""
     r1, c1, n = a + b, a + c, a + b + c + d
     x = np.arange(max(0, r1 + c1 - n), min(r1, c1) + 1)
-    lf = lambda v: _LGAMMA(np.asarray(v, float) + 1)
+    lf = lambda v: _log_gamma(np.asarray(v, float) + 1)
     logs = lf(r1) + lf(n - r1) + lf(c1) + lf(n - c1) - lf(n) - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(n - r1 - c1 + x)
     mine = logs[a - x[0]]
     return float(min(1.0, np.exp(logs[logs <= mine + 1e-7]).sum()))
