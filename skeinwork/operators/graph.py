@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .neighbours import band_pairs, nearest
+from .neighbours import nearest, radius_pairs
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def simple_representatives(points: DataFrame, density: float = 0.01, inclusion:
     near = checkpointed(nearest(points, k, metric))
     radius = near.where(F.col("rank") == k).agg(F.percentile("d", F.lit(0.5))).first()[0]
     order = near.groupBy("i").agg(F.sum("d").alias("s"))
-    pairs = band_pairs(points, max(radius, 1e-12), metric)
+    pairs = radius_pairs(points, radius, metric)
     both = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
     reach = order.join(both.groupBy("i").agg(F.collect_list("j").alias("js")), "i", "left").orderBy("s", "i")
     covered: set = set()
@@ -332,7 +332,7 @@ def dbscan(points: DataFrame, min_points: int = 3, percentile: float = 0.8, eps:
         while not eps and q < 1:
             q = min(1.0, q + 0.01)
             eps = far.agg(F.percentile("d", F.lit(q))).first()[0]
-    pairs = band_pairs(points, max(eps, 1e-12), metric)
+    pairs = radius_pairs(points, eps, metric)
     near = checkpointed(pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")))
     core = checkpointed(near.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_points).select(F.col("i").alias("id")))
     is_core = core.select(F.col("id").alias("i"))

@@ -59,17 +59,48 @@ def nearest(points: DataFrame, k: int, metric: str = "euclidean", within: str |
     best k of those are ranked. Memory is bounded by two blocks, and a vector travels once a block.
     `within` keeps neighbours to the point's own group.
     """
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    base = points.select("id", "vec", (F.col(within).cast("string") if within else F.lit("")).alias("grp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = base.withColumn("o", other).select("grp", F.col("b").alias("qb"), F.col("o").alias("cb"), F.lit(0).alias("kind"), "id", "vec")
-    choices = base.withColumn("o", other).select("grp", F.col("o").alias("qb"), F.col("b").alias("cb"), F.lit(1).alias("kind"), "id", "vec")
-    found = queries.unionByName(choices).groupBy("grp", "qb", "cb").applyInArrow(_nearest_in_block(k, metric), "i long, j long, d double")
+    found = _block_pairs(points, block, within).groupBy("grp", "qb", "cb").applyInArrow(_nearest_in_block(k, metric), "i long, j long, d double")
     w = Window.partitionBy("i").orderBy("d", "j")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "rank", "j", "d")
 
 
+def _radius_in_block(radius: float, metric: str):
+    kernel = distance_block
+
+    def run(t):
+        import pyarrow as pa
+
+        kind, ids = t.column("kind").to_numpy(), t.column("id").to_numpy()
+        vec = np.stack(t.column("vec").to_pylist()).astype(float)
+        q, c = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        out = [[np.array([], np.int64)], [np.array([], np.int64)], [np.array([], float)]]
+        for s in range(0, len(q) if len(c) else 0, 256):
+            part = q[s : s + 256]
+            d = kernel(vec[part], vec[c], metric)
+            a, b = np.nonzero((d <= radius) & (ids[part][:, None] < ids[c][None, :]))
+            for x, y in zip(out, (ids[part][a], ids[c][b], d[a, b])):
+                x.append(y)
+        i, j, d = map(np.concatenate, out)
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "d": pa.array(d, pa.float64())})
+
+    return run
+
+
+def _block_pairs(points: DataFrame, block: int, within: str | None = None) -> DataFrame:
+    """Rows of every ordered pair of blocks of points, grouped: kind 0 are the first block's, 1 the second's."""
+    blocks = max(1, -(-points.count() // block))
+    base = points.select("id", "vec", (F.col(within).cast("string") if within else F.lit("")).alias("grp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    base = base.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = base.select("grp", F.col("b").alias("qb"), F.col("o").alias("cb"), F.lit(0).alias("kind"), "id", "vec")
+    second = base.select("grp", F.col("o").alias("qb"), F.col("b").alias("cb"), F.lit(1).alias("kind"), "id", "vec")
+    return first.unionByName(second)
+
+
+def radius_pairs(points: DataFrame, radius: float, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """(i, j, d) of all pairs i < j at most `radius` apart, exactly; two blocks a task."""
+    return _block_pairs(points, block).groupBy("grp", "qb", "cb").applyInArrow(_radius_in_block(radius, metric), "i long, j long, d double")
+
+
 def local_scale(points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(id, s): the median of the distances to the k nearest points, itself (0) among them."""
     near = nearest(points, max(k - 1, 1), metric)
