@@ -263,10 +263,10 @@ def binned_proportion(spark, d):
     return A.binned(table(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R", LINEAR).select("bin", *r6("centre"), "n", *r6("mean", "overall"))
 
 
-@query("binned_mean_log", _bins_sql(LOG, "l_discount", "ln(l_quantity + 0.5)", "lineitem"))
+@query("binned_mean_log", _bins_sql(LOG, "l_discount * 7", "ln(l_quantity + 0.5)", "lineitem"))
 def binned_mean_log(spark, d):
     x = table(spark, d, "lineitem").select("l_discount", C.log_half(F.col("l_quantity")).alias("x"))
-    return A.binned(x, "x", F.col("l_discount"), LOG).select("bin", *r6("centre"), "n", *r6("mean", "overall"))
+    return A.binned(x, "x", F.col("l_discount") * 7, LOG).select("bin", *r6("centre"), "n", *r6("mean", "overall"))
 
 
 @query("binned_mean_linear", _bins_sql(LEFT_EDGES, "l_tax", "l_quantity", "lineitem"))
