@@ -393,3 +393,42 @@ def stat_series(clusters: DataFrame, group: str, stats: list[str], sort_by: str
     """(group, rank, stat ...): statistics divided by their greatest in the group, in the order of one."""
     g, o = Window.partitionBy(group), Window.partitionBy(group).orderBy(sort_by, "id")
     return clusters.select(group, F.row_number().over(o).alias("rank"), *[(F.col(s) / F.nullif(F.max(s).over(g), F.lit(0))).alias(s) for s in stats])
+
+
+def quality_cuts(ids: np.ndarray, tree: list[tuple[int, int, float]]) -> tuple[pd.DataFrame, np.ndarray]:
+    """The merges with their diagnostics, and the labels of the partition before the most significant cut.
+
+    A merge is a cut if its quality (mean edge x pairs / internal) is under one half and under that of the
+    better side; its significance is half its impact (the smaller side's share of all points, in tenths) and
+    half its local growth (edge over the sides' means, against six merges before it), over 1.4.
+    """
+    n = len(ids)
+    stats = [(1, 0.0, 0.0)] * n
+    rows = []
+    for a, b, d in merge_table(tree, n):
+        (x, tx, ix), (y, ty, iy) = stats[a], stats[b]
+        m, total, internal = x + y, tx + ty + d, ix + iy + d * x * y
+        stats.append((m, total, internal))
+        quality = [t / (k - 1) * k * (k - 1) / 2 / i if i else 1.0 for k, t, i in ((m, total, internal), (x, tx, ix), (y, ty, iy))]
+        growth = [max(k - 1, 1) * (d / (t / (k - 1)) if t else 1.0) for k, t in ((x, tx), (y, ty))]
+        rows.append((m, d, total / (m - 1), internal, quality[0], quality[0] - min(quality[1:]), sum(growth) / max(x + y - 2, 2), min(x, y) / n))
+    t = pd.DataFrame(rows, columns=["n", "d", "mean", "internal", "quality", "change", "local", "share"])
+    before = t["local"].rolling(6, min_periods=1).mean().clip(lower=1)
+    t["significance"] = (0.5 * t["share"] / 0.1 + 0.5 * t["local"] / (before * 1.5)) / 1.4
+    t["cut"] = (t["quality"] < 0.5) & (t["change"] < 0)
+    upto = int(t[t["cut"]]["significance"].idxmax()) if t["cut"].any() else len(t)
+    root = list(range(2 * n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (a, b, _) in enumerate(merge_table(tree, n)[:upto]):
+        root[a] = root[b] = n + k
+    return t, np.unique([find(i) for i in range(n)], return_inverse=True)[1]
+
+
+def level_sequence(clusters: DataFrame, group: str) -> DataFrame:
+    """(group, level, clusters): the ids of each level, from the roots down."""
+    return lineage(clusters, group).groupBy(group, "level").agg(F.array_sort(F.collect_list("id")).alias("clusters"))

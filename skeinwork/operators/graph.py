@@ -341,3 +341,79 @@ def dbscan(points: DataFrame, min_points: int = 3, percentile: float = 0.8, eps:
     border = near.join(is_core, "i", "left_anti").join(labels.select(F.col("id").alias("j"), "label"), "j").groupBy("i").agg(F.min(F.struct("d", "j", "label")).alias("m")).select(F.col("i").alias("id"), F.lit(False).alias("core"), "m.label")
     found = labels.select("id", F.lit(True).alias("core"), "label").unionByName(border)
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("label", F.lit(-1).cast("long")).alias("label")), eps
+
+
+def modified_forest(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Trees that stop growing together: edges in the order (d, fr, to); an edge between two trees of more
+    than one point is taken only if it's shorter than the greater of their mean edges. The outcome depends
+    on the order, so the list is walked in one place."""
+    root: dict = {}
+    size: dict = {}
+    mean: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b, d in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        x, y = find(a), find(b)
+        if x == y:
+            continue
+        m, n = size.get(x, 1), size.get(y, 1)
+        if m > 1 and n > 1 and d >= max(mean[x], mean[y]):
+            continue
+        total = d + (m - 1) * mean.get(x, 0.0) + (n - 1) * mean.get(y, 0.0)
+        root[y] = x
+        size[x] = m + n
+        mean[x] = total / (m + n - 1)
+        out.append((a, b, d))
+    return out
+
+
+def agglomerative(d: np.ndarray, clusters: int = 2) -> np.ndarray:
+    """Labels of average linkage cut at so many clusters, for small distance matrices."""
+    d = d.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    label, count = np.arange(len(d)), np.ones(len(d))
+    for _ in range(len(d) - clusters):
+        a, b = np.unravel_index(d.argmin(), d.shape)
+        a, b = min(a, b), max(a, b)
+        d[a] = d[:, a] = (count[a] * d[a] + count[b] * d[b]) / (count[a] + count[b])
+        d[b] = d[:, b] = np.inf
+        d[a, a] = np.inf
+        count[a] += count[b]
+        label[label == b] = a
+    return np.unique(label, return_inverse=True)[1]
+
+
+def affinity_propagation(d: np.ndarray, damping: float = 0.5, rounds: int = 200) -> np.ndarray:
+    """Exemplar of each point, from similarities -d² with their median as preference, for small matrices."""
+    s = -(d.astype(float) ** 2)
+    n = len(s)
+    s[np.diag_indices(n)] = np.median(s[~np.eye(n, dtype=bool)]) if n > 1 else 0.0
+    r, a = np.zeros((n, n)), np.zeros((n, n))
+    for _ in range(rounds):
+        m = a + s
+        best = m.argmax(1)
+        top = m[np.arange(n), best]
+        m[np.arange(n), best] = -np.inf
+        second = m.max(1)
+        new = s - top[:, None]
+        new[np.arange(n), best] = s[np.arange(n), best] - second
+        r = damping * r + (1 - damping) * np.where(np.isfinite(new), new, 0.0)
+        p = np.maximum(r, 0)
+        p[np.diag_indices(n)] = r.diagonal()
+        new = p.sum(0)[None, :] - p
+        own = new.diagonal().copy()
+        new = np.minimum(new, 0)
+        new[np.diag_indices(n)] = own
+        a = damping * a + (1 - damping) * new
+    chosen = np.flatnonzero((r + a).diagonal() > 0)
+    if not len(chosen):
+        chosen = np.array([s.sum(0).argmax()])
+    out = chosen[s[:, chosen].argmax(1)]
+    out[chosen] = chosen
+    return out

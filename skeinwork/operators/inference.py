@@ -41,7 +41,7 @@ def pearson(df: DataFrame, x: Column, y: Column) -> DataFrame:
     a, b = x.cast("double"), y.cast("double")
     out = df.where(a.isNotNull() & b.isNotNull()).agg(F.count("*").alias("n"), F.corr(a, b).alias("r"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"))
     r = F.col("r")
-    return out.withColumn("t", r * F.sqrt((F.col("n") - 2) / F.nullif(1 - r * r, F.lit(0.0))))
+    return out.withColumn("t", r * F.sqrt((F.col("n") - 2) / F.greatest(1 - r * r, F.lit(1e-300))))
 
 
 def association_tests(df: DataFrame, columns: list[str], against: str) -> DataFrame:
@@ -71,7 +71,7 @@ def association_tests(df: DataFrame, columns: list[str], against: str) -> DataFr
             name = "δμ"
         else:
             effect, dof = F.col(f"r_{i}"), F.col(f"n_{i}").cast("double") - 2
-            stat, name = effect * F.sqrt(dof / F.nullif(1 - effect * effect, F.lit(0.0))), "r"
+            stat, name = effect * F.sqrt(dof / F.greatest(1 - effect * effect, F.lit(1e-300))), "r"
         rows.append(F.struct(F.lit(c).alias("col"), F.lit(name).alias("test"), effect.alias("effect"), stat.alias("statistic"), dof.alias("df"), F.col(f"slope_{i}").alias("slope"), F.col(f"icpt_{i}").alias("intercept")))
     out = df.agg(*(aggs or [F.count("*")])).select(F.explode(F.array(*rows)).alias("t")).select(F.lit(against).alias("against"), "t.*")
     p = F.when(F.col("test") == "?", F.lit(1.0)).otherwise(t_p(F.col("statistic"), F.col("df")))

@@ -205,3 +205,33 @@ def test_layout(spark):
     assert W.montage(imgs, 1).shape == (2 * 2 + 1, 3 * 3 + 2, 3)
     assert W.pad_crop(imgs[0], 5, 5).shape == (5, 5, 3) and W.framed(imgs[0], 2).shape == (6, 7, 3)
     assert W.joined(imgs[:2], True).shape == (4, 3, 3)
+
+
+def test_other_clusterings(spark):
+    x = cloud()
+    d = distance_block(x, x)
+    side = np.arange(60) // 30
+    a = G.agglomerative(d)
+    assert (a == side).all() or (a == 1 - side).all()
+    ap = G.affinity_propagation(d)
+    assert all(side[e] == side[i] for i, e in enumerate(ap))
+    tree = G.tree_of(np.arange(60), d)
+    forest = G.modified_forest([(i, j, float(d[i, j])) for i, j in itertools.combinations(range(60), 2)])
+    assert len(forest) < 59 and all(side[i] == side[j] for i, j, _ in forest)
+    table, labels = K.quality_cuts(np.arange(60), tree)
+    assert len(table) == 59 and len(labels) == 60
+    levels = K.level_sequence(K.multiscale(frame(spark, x), "label"), "label").collect()
+    assert min(r.level for r in levels) == 0
+
+
+def test_samplers_and_figures(spark):
+    from skeinwork.functions import samplers
+    from skeinwork.plans import figures
+
+    for kind in ("uniform", "gaussian", "exponential", "pareto"):
+        assert samplers.blob(spark, 20, (1.0, 2.0), 0.5, kind, 2.0).count() == 20
+    assert samplers.ring(spark, 9, (0, 0), 3, 0.1).count() == 9 and samplers.line(spark, 9, (0, 0), (1, 1), 0.1).count() == 9
+    df = spark.range(100).select((F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 2 == 0).alias("b"), F.col("id").cast("double").alias("y"))
+    assert figures.correlation_series(df, "b", "x", 9).agg(F.sum("n")).first()[0] == 100
+    assert figures.reversed_series(df, "b", "y").count() == 2
+    assert [r.passed for r in figures.gated_correlations(df, ["x", "y"], "y").collect()] == [False, True]
