@@ -8,8 +8,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Entries a worker keeps before it starts anew; bounds memory, never results.
-CACHE_CHUNKS, CACHE_CORES = 500_000, 500_000
+#: Entries a worker keeps before it starts anew (about 220 bytes each); bounds memory, never results.
+CACHE_CHUNKS, CACHE_CORES = 400_000, 700_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,22 +31,27 @@ class ChunkEncoder:
     runs are encoded many at a time, all other chunks one by one. Ids are little-endian unsigned 32-bit.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, chunks: int | None = None, cores: int | None = None) -> None:
         import os
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
+        # lower-case Latin-1 letters are normal already, and blanks alone part them
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.limits = chunks or CACHE_CHUNKS, cores or CACHE_CORES
         self.chunks: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.simple = re.compile("([a-zß-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
+        if len(self.chunks) + len(new) > self.limits[0]:
             self.chunks.clear()
-        if len(self.parts) > CACHE_CORES:
+        if len(self.parts) > self.limits[1]:
             self.parts.clear()
         split, runs, odd = [], set(), set()
         for c in new:
@@ -63,15 +68,14 @@ class ChunkEncoder:
                 if text not in self.parts:
                     odd.add(text)
         words = list(runs)
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            e = self.model.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            ends = np.flatnonzero(np.diff(of)) + 1
-            runs_ids = np.split(ids, ends)
-            if len(runs_ids) != len(part):
+        for i in range(0, len(words), 64):
+            part = words[i : i + 64]
+            e = self.letters.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            ends = [0, *((np.flatnonzero(of[1:] != of[:-1]) + 1) * 4).tolist(), len(ids)]
+            if len(ends) != len(part) + 1:
                 raise ValueError("the tokenizer does not keep letter runs apart")
-            self.parts.update(zip(part, (x.tobytes() for x in runs_ids)))
+            self.parts.update((w, ids[a:b]) for w, a, b in zip(part, ends, ends[1:]))
         rest = list(odd)
         for t, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
             self.parts[t] = np.array(e.ids, "<u4").tobytes()
@@ -102,12 +106,31 @@ class ChunkEncoder:
         self.chunks.update(kept)
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder for `path`."""
+def encoder(path: str, cache: tuple[int, int] | None = None) -> ChunkEncoder:
+    """This worker's encoder for `path`; `cache` are its limits of chunks and letter runs."""
     state = worker_state()
-    if ("encoder", path) not in state:
-        state["encoder", path] = ChunkEncoder(path)
-    return state["encoder", path]
+    if ("encoder", path, cache) not in state:
+        state["encoder", path, cache] = ChunkEncoder(path, *(cache or ()))
+    return state["encoder", path, cache]
+
+
+def lean(run: Callable[[Iterable], Iterable]) -> Callable[[Iterable], Iterable]:
+    """`run`, which at its end gives memory that it no longer uses back to the system: the worker process
+    lives on, and its next task may be another stage's."""
+
+    def wrapped(batches: Iterable) -> Iterable:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it keeps its memory
+            pass
+
+    return wrapped
 
 
 def slices(batches: Iterable, size: Callable[[object], np.ndarray], limit: int) -> Iterable:
