@@ -39,8 +39,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their ids."""
-    return packing.pack_documents(docs, tokenizer_path(), 1)
+    """The pieces of the packed sequences, with their ids. Workers that served other stages hold memory of
+    theirs, so the tokenizer's caches are small."""
+    return packing.pack_documents(docs, tokenizer_path(), 1, cache=(150_000, 250_000))
 
 
 STAGES = [

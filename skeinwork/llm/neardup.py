@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .tokens import slices, text_bytes
+from .tokens import lean, slices, text_bytes
 
 ROWS, MISS = 4, 1e-5
 #: Buckets up to SMALL sets yield pairs; larger ones are compared in blocks of BLOCK sets inside tasks.
@@ -222,13 +222,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     4. components by repeated least labels.
 
     A pair at the threshold escapes all bands with probability MISS. A null or blank text has an empty
-    set and no links. Rows that repeat an id are documents of their own. A null id takes part under no
-    id: its component_id is null unless a linked row has an id, and it's kept only if null. Empty
-    tables give empty results; further columns are ignored.
+    set and no links. Rows that repeat an id are documents of their own. A text that only rows of null
+    ids have is linked with nothing: its component_id is null, and they are kept; a null id whose text
+    other rows have too belongs to their component. Empty tables give empty results; further columns are
+    ignored.
     """
     bands = bands_for(part / whole)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sketch = stored(rows.mapInArrow(_sketcher(width, bands), "id long, n long, node binary, keys array<long>"), "sketch")
+    sketch = stored(rows.mapInArrow(lean(_sketcher(width, bands)), "id long, n long, node binary, keys array<long>"), "sketch")
     nodes = stored(sketch.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("keys").alias("keys")), "nodes")
     placed = nodes.select("node", "id", F.explode("keys").alias("key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -236,12 +237,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
 
     need = stored(members.where("id is not null").select("node", F.col("id").alias("_id")).distinct(), "need")
     source = rows.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, F.col("id") == F.col("_id")).select("id", "text", "node")
-    sets = source.mapInArrow(_set_maker(width), "node binary, set binary")
+    sets = source.mapInArrow(lean(_set_maker(width)), "node binary, set binary")
 
     few = members.where(F.col("n") <= SMALL).select("key", "node")
     pairs = few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    links = sided.select("a", "b", "set_a", "set_b").mapInArrow(_linked(part, whole), "a binary, b binary")
+    links = sided.select("a", "b", "set_a", "set_b").mapInArrow(lean(_linked(part, whole)), "a binary, b binary")
 
     many = members.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

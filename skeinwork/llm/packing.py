@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import encoder, slices, text_bytes, tokenizer_path
+from .tokens import encoder, lean, slices, text_bytes, tokenizer_path
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens packed together in a task: larger fits better and takes more memory.
@@ -92,7 +92,7 @@ def balanced_steps(windows: list[list[Piece]], size: int = STEP_WINDOWS) -> list
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_id long, ids binary"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, group_tokens: int = GROUP_TOKENS, cache: tuple[int, int] | None = None) -> DataFrame:
     """One row per piece, in the schema PIECES (ids: little-endian unsigned 32-bit; null unless
     `with_ids`).
 
@@ -107,7 +107,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, cache), np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
         held: dict[int, tuple[object, bytes]] = {}
         pieces: list[Piece] = []
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
                     yield from flush(False)
         yield from flush(True)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

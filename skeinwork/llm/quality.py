@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .labelled import held_out, teaching_rows
-from .tokens import slices, text_bytes
+from .tokens import lean, slices, text_bytes
 
 #: Labelled documents whose vectors vote at most, latent dimensions, neighbours, and the power of the
 #: similarity that weighs a neighbour's label.
@@ -64,7 +64,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
             n, df = n + b.num_rows, df + (counts > 0).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df], pa.list_(pa.float64()))], ["n", "df"])
 
-    parts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "n long, df array<double>")
+    parts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(lean(run), "n long, df array<double>")
     sums = parts.select("n", F.posexplode("df").alias("term", "df")).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).collect()
     df = np.zeros(TERMS)
     for r in sums:
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(counts), pa.list_(pa.float64())), b.column(2)], ["id", "counts", "y"])
 
     sample = teaching_rows(docs, labels, label, id_col, text_col, references)
-    sample = sample.withColumn("id", F.col("id").cast("long")).mapInArrow(run, "id long, counts array<double>, y int").toPandas().sort_values("id", kind="stable")
+    sample = sample.withColumn("id", F.col("id").cast("long")).mapInArrow(lean(run), "id long, counts array<double>, y int").toPandas().sort_values("id", kind="stable")
     counts, y = np.array([np.asarray(c) for c in sample["counts"]]).reshape(-1, TERMS), (sample["y"] > 0).to_numpy(float)
     x = latent(counts, idf, np.eye(TERMS))
     values, vectors = np.linalg.eigh(x.T @ x)
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def op3_latent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

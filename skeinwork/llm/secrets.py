@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path, stored, table
-from .tokens import slices, text_bytes
+from .tokens import lean, slices, text_bytes
 
 #: kind: (pattern, group whose length counts, its least length). Fixed values.
 RULES = {
@@ -99,7 +99,7 @@ def scan_versions(versions: DataFrame, ledger: Ledger, path_col: str = "path", t
     unseen = paths.groupBy("blob").agg(F.min("path").alias("_path")).join(seen, "blob", "left_anti").withColumnRenamed("blob", "_blob")
     # one path of each unseen blob brings its text
     todo = rows.join(unseen, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path"))).select("blob", "body")
-    scanned = todo.mapInArrow(_scan, f"blob binary, found {FOUND}").select("blob", F.lit(rules_version).alias("rules_version"), "found")
+    scanned = todo.mapInArrow(lean(_scan), f"blob binary, found {FOUND}").select("blob", F.lit(rules_version).alias("rules_version"), "found")
     ledger.append(scanned)
     hits = ledger.rows().where((F.col("rules_version") == rules_version) & (F.size("found") > 0)).select("blob", "found").dropDuplicates(["blob"])
     joined = paths.join(hits, "blob", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .labelled import held_out, logistic, teaching_rows
-from .tokens import slices, text_bytes
+from .tokens import lean, slices, text_bytes
 
 #: Words share 2^BITS counters by hash, and left neighbours CONTEXTS marks a word: the model's size
 #: is fixed, whatever the corpus holds, while every word of every teaching document is counted.
@@ -75,7 +75,7 @@ def _merge(t):
 def gather(rows: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """counts[class, slot] and the number of distinct left neighbours of each slot, both classes
     together. Tasks merge in two steps; the driver gets 2^bits counters at most."""
-    parts = rows.select("id", "text", "y").mapInArrow(_counter(bits), "chunk long, salt int, data binary")
+    parts = rows.select("id", "text", "y").mapInArrow(lean(_counter(bits)), "chunk long, salt int, data binary")
     schema = "chunk long, salt int, data binary"
     merged = parts.groupBy("chunk", "salt").applyInArrow(_merge, schema).groupBy("chunk").applyInArrow(_merge, schema)
     counts, neighbours = np.zeros((2, 1 << bits)), np.zeros(1 << bits)
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             f = np.array(out).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(3)), b.column(2)], ["a", "b", "c", "y"])
 
-    sample = teaching_rows(docs, labels, label, id_col, text_col, calibration).mapInArrow(run, "a double, b double, c double, y int").toPandas()
+    sample = teaching_rows(docs, labels, label, id_col, text_col, calibration).mapInArrow(lean(run), "a double, b double, c double, y int").toPandas()
     weights = logistic(sample[["a", "b", "c"]].to_numpy(float), (sample["y"] > 0).to_numpy(float))
     model = Model(counts, neighbours)
     return model.ratio(np.arange(1 << bits)).astype(np.float32), weights
@@ -167,7 +167,7 @@ def score(docs: DataFrame, ratios: np.ndarray, weights: np.ndarray, id_col: str
     kinds = dict(docs.dtypes)
     plain = docs.select(*[F.col(c).cast("binary").alias(c) if c == text_col else F.col(c) for c in docs.columns])
     schema = ", ".join(f"`{c}` {'binary' if c == text_col else kinds[c]}" for c in docs.columns) + ", toxic_score double"
-    out = plain.mapInArrow(run, schema)
+    out = plain.mapInArrow(lean(run), schema)
     return out.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns], "toxic_score")
 
 
