@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, table
-from .tokens import encoder, slices, text_bytes, tokenizer_path
+from .tokens import encoder, lean, slices, text_bytes, tokenizer_path
 
 #: Bytes of a row group, bytes and rows of a page: what a selective read fetches at least.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 1 << 20, 500
@@ -42,11 +42,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             before += int(offsets[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, schema)
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(encode), schema)
     rows = rows.withColumn("part", F.spark_partition_id())
     element = "ids.list.element"
     options = {
-        "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.page.row.count.limit": page_rows,
+        "compression": "snappy", "parquet.writer.version": "v2", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.page.row.count.limit": page_rows,
         "parquet.enable.dictionary": "false", f"parquet.enable.dictionary#{element}": str(encoding == "dictionary").lower(), "parquet.dictionary.page.size": 1 << 20,
     }
     rows.select("doc_id", "n_tokens", "part", "part_start", "ids").write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
@@ -75,4 +75,4 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             crc = [zlib.crc32(flat[s:e]) for s, e in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_tokens(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, path).mapInArrow(lean(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Entries a worker keeps before it starts anew (about 220 bytes each); bounds memory, never results.
-CACHE_CHUNKS, CACHE_CORES = 400_000, 700_000
+#: Entries a worker keeps (about 220 bytes each); bounds memory, never results. The older half goes when
+#: the newer half is full, and what is used again joins the newer one.
+CACHE_CHUNKS, CACHE_CORES = 500_000, 900_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,66 +47,70 @@ class ChunkEncoder:
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limits = chunks or CACHE_CHUNKS, cores or CACHE_CORES
         self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.simple = re.compile("([a-zß-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
+        self.older_chunks: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.older_parts: dict[bytes, bytes] = {}
+        self.latin = re.compile("([A-Za-zß-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
+
+    def _split(self, chunk: bytes) -> tuple[bytes, bytes]:
+        """(letters in lower case, punctuation) of a chunk of that form, else (chunk, nothing)."""
+        core = chunk.rstrip(PUNCTUATION)
+        low = core.lower()
+        if low.isalpha():
+            return low, chunk[len(core) :]
+        if not chunk.isascii():
+            m = self.latin(chunk.decode("utf-8", "replace"))
+            if m:
+                return m[1].lower().encode(), m[2].encode()
+        return chunk, b""
 
     def _learn(self, new: set[bytes]) -> None:
-        if len(self.chunks) + len(new) > self.limits[0]:
-            self.chunks.clear()
-        if len(self.parts) > self.limits[1]:
-            self.parts.clear()
-        split, runs, odd = [], set(), set()
+        if len(self.parts) > self.limits[1] // 2:
+            self.older_parts, self.parts = self.parts, {}
+        chunks, parts, older = self.chunks, self.parts, self.older_parts
+        split, runs, odd = [], {}, {}
         for c in new:
-            text = c.decode("utf-8", "replace")
-            m = self.simple(text.lower()) if text.isascii() else self.simple(text) or self.simple(text[0].lower() + text[1:])
-            if m:
-                split.append((c, m[1], m[2]))
-                if m[1] not in self.parts:
-                    runs.add(m[1])
-                if m[2] and m[2] not in self.parts:
-                    odd.add(m[2])
-            else:
-                split.append((c, text, ""))
-                if text not in self.parts:
-                    odd.add(text)
-        words = list(runs)
+            known = self.older_chunks.get(c)
+            if known is not None:
+                chunks[c] = known
+                continue
+            head, tail = self._split(c)
+            split.append((c, head, tail))
+            for part, todo in ((head, odd if head is c else runs), (tail, odd)):
+                if part and part not in parts:
+                    known = older.get(part)
+                    if known is None:
+                        todo[part] = None
+                    else:
+                        parts[part] = known
+        words = [w for w in runs if w not in odd]
         for i in range(0, len(words), 64):
             part = words[i : i + 64]
-            e = self.letters.encode(" ".join(part), add_special_tokens=False)
+            e = self.letters.encode(b" ".join(part).decode(), add_special_tokens=False)
             ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
             ends = [0, *((np.flatnonzero(of[1:] != of[:-1]) + 1) * 4).tolist(), len(ids)]
             if len(ends) != len(part) + 1:
                 raise ValueError("the tokenizer does not keep letter runs apart")
-            self.parts.update((w, ids[a:b]) for w, a, b in zip(part, ends, ends[1:]))
+            parts.update((w, ids[a:b]) for w, a, b in zip(part, ends, ends[1:]))
         rest = list(odd)
-        for t, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
-            self.parts[t] = np.array(e.ids, "<u4").tobytes()
-        parts = self.parts
-        self.chunks.update((c, parts[a] + parts[b] if b else parts[a]) for c, a, b in split)
+        for t, e in zip(rest, self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in rest], add_special_tokens=False)):
+            parts[t] = np.array(e.ids, "<u4").tobytes()
+        chunks.update((c, parts[a] + parts[b] if b else parts[a]) for c, a, b in split)
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
         """The ids of each text (None: empty), as bytes."""
+        if len(self.chunks) > self.limits[0] // 2:
+            self.older_chunks, self.chunks = self.chunks, {}
         split = [(t or b"").split() for t in texts]
         known = self.chunks
         new = set()
         for cs in split:
             new.update(c for c in cs if c not in known)
         if new:
-            held = len(known)
             self._learn(new)
-            if len(known) < held + len(new):  # the cache was cleared
-                missing = {c for cs in split for c in cs if c not in known}
-                if missing:
-                    self._learn_more(missing)
         get = known.__getitem__
         return [b"".join(map(get, cs)) for cs in split]
 
-    def _learn_more(self, new: set[bytes]) -> None:
-        kept = dict(self.chunks)
-        self.chunks.clear()
-        self._learn(new)
-        self.chunks.update(kept)
-
 
 def encoder(path: str, cache: tuple[int, int] | None = None) -> ChunkEncoder:
     """This worker's encoder for `path`; `cache` are its limits of chunks and letter runs."""
