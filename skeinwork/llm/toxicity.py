@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .labelled import held_out, logistic, teaching_rows
 from .tokens import lean, slices, text_bytes
 
-#: Words share 2^BITS counters by hash, and left neighbours CONTEXTS marks a word: the model's size
-#: is fixed, whatever the corpus holds, while every word of every teaching document is counted.
-BITS, CONTEXTS, CHUNK = 20, 32, 1 << 12
+#: The shared distribution keeps half a count for each of 2^BITS words, or of all words there are if more.
+BITS = 20
+#: `word_slots` and CONTEXTS tell words and left neighbours apart in the brute-force test alone.
+CONTEXTS = 32
+#: Words of a block of the model that is broadcast; of more blocks each takes a pass over the texts.
+BLOCK = 500_000
+#: Words and pairs that a counting task holds before it hands them on.
+HELD = 200_000
+#: Rows to which the left neighbours of a word are dealt; results don't depend on it.
+SALTS = 16
 #: Discount of absolute discounting (in documents), words of the windows and number of the words whose
 #: ratios count, documents that fit the calibration at most.
 DISCOUNT, WINDOW, TOP, CALIBRATION = 3.0, 2, 3, 12_000
@@ -23,91 +31,124 @@ BATCH_BYTES = 4 << 20
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    """Lower-cased runs of letters, digits and non-ASCII signs."""
+    return (text or b"").decode("utf-8", "replace").lower().encode().translate(_BLANK).split()
+
+
 def word_slots(text: bytes | None, bits: int) -> np.ndarray:
-    """The counter of each word: lower-cased runs of letters, digits and non-ASCII signs."""
+    """`bits` of each word's hash."""
     from xxhash import xxh3_64_intdigest
 
-    words = (text or b"").decode("utf-8", "replace").lower().encode().translate(_BLANK).split()
+    words = words_of(text)
     return (np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _counter(bits: int):
-    """Per task: documents of each class with a word, and marks of its left neighbours, in compressed
-    chunks. A word counts once a document: one that is rare but repeated in a text says little."""
-
-    def run(batches: Iterable) -> Iterable:
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        size = 1 << bits
-        counts = np.zeros((2, size), np.int32)
-        marks = np.zeros(size * CONTEXTS, bool)
-        for b in slices(batches, lambda x: text_bytes(x.column(1)), BATCH_BYTES):
-            for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                s = word_slots(text, bits)
-                counts[1 if y else 0, np.unique(s)] += 1
-                marks[s[1:] * CONTEXTS + (s[:-1] & (CONTEXTS - 1))] = True
-        left = np.packbits(marks.reshape(size, CONTEXTS), axis=1)
-        rows = []
-        for k in range(0, size, CHUNK):
-            if counts[:, k : k + CHUNK].any():
-                rows.append((k, zlib.compress(counts[:, k : k + CHUNK].tobytes() + left[k : k + CHUNK].tobytes(), 1)))
-        salt = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([salt] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["chunk", "salt", "data"])
-
-    return run
-
-
-def _merge(t):
-    """One row from the rows of a chunk: counts add up, marks unite."""
+def _counter(batches: Iterable) -> Iterable:
+    """Per task: (word, 0, null, ordinary, toxic) documents with a word, and (word, salt, lefts, 0, 0) for its
+    left neighbours, joined by newlines; a neighbour's checksum deals those of a common word to SALTS
+    rows. A word counts once a document: one that is rare but repeated in a text says little."""
     import pyarrow as pa
 
-    counts, left = 0, 0
-    for data in t.column("data"):
-        raw = zlib.decompress(data.as_py())
-        cut = 2 * CHUNK * 8 if len(raw) > 2 * CHUNK * 4 + CHUNK * CONTEXTS // 8 else 2 * CHUNK * 4
-        counts = counts + np.frombuffer(raw[:cut], np.int64 if cut == 2 * CHUNK * 8 else np.int32).astype(np.int64)
-        left = left | np.frombuffer(raw[cut:], np.uint8)
-    merged = zlib.compress(counts.astype(np.int64).tobytes() + left.tobytes(), 1)
-    return pa.table({"chunk": t.column("chunk")[:1], "salt": pa.array([0], pa.int32()), "data": pa.array([merged], pa.binary())})
-
-
-def gather(rows: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """counts[class, slot] and the number of distinct left neighbours of each slot, both classes
-    together. Tasks merge in two steps; the driver gets 2^bits counters at most."""
-    parts = rows.select("id", "text", "y").mapInArrow(lean(_counter(bits)), "chunk long, salt int, data binary")
-    schema = "chunk long, salt int, data binary"
-    merged = parts.groupBy("chunk", "salt").applyInArrow(_merge, schema).groupBy("chunk").applyInArrow(_merge, schema)
-    counts, neighbours = np.zeros((2, 1 << bits)), np.zeros(1 << bits)
-    for row in merged.toLocalIterator():
-        raw = zlib.decompress(row.data)
-        counts[:, row.chunk : row.chunk + CHUNK] = np.frombuffer(raw[: 2 * CHUNK * 8], np.int64).reshape(2, CHUNK)
-        bitsets = np.frombuffer(raw[2 * CHUNK * 8 :], np.uint8).reshape(CHUNK, -1)
-        neighbours[row.chunk : row.chunk + CHUNK] = np.unpackbits(bitsets, axis=1).sum(1)
-    return counts, neighbours
+    def batch(words, salts, lefts, n0, n1):
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(salts, pa.int32()), pa.array(lefts, pa.binary()), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())], ["word", "salt", "lefts", "n0", "n1"])
+
+    def out(counts, pairs):
+        words = list(counts[0].keys() | counts[1].keys())
+        yield batch(words, np.zeros(len(words), np.int32), [None] * len(words), *([c[w] for w in words] for c in counts))
+        lefts = defaultdict(list)
+        for v, w in pairs:
+            lefts[w, zlib.crc32(v) % SALTS].append(v)
+        nothing = np.zeros(len(lefts), np.int64)
+        yield batch([w for w, _ in lefts], [k for _, k in lefts], [b"\n".join(v) for v in lefts.values()], nothing, nothing)
+
+    counts, pairs = (Counter(), Counter()), set()
+    for b in slices(batches, lambda x: text_bytes(x.column(1)), BATCH_BYTES):
+        for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            words = words_of(text)
+            counts[1 if y else 0].update(set(words))
+            pairs.update(zip(words, words[1:]))
+            if len(pairs) + len(counts[0]) + len(counts[1]) > HELD:
+                yield from out(counts, pairs)
+                counts, pairs = (Counter(), Counter()), set()
+    yield from out(counts, pairs)
+
+
+def gather(rows: DataFrame) -> DataFrame:
+    """(word, n0, n1, neighbours): ordinary and toxic documents with a word, and its distinct left
+    neighbours in both together."""
+    each = rows.select("id", "text", "y").mapInArrow(lean(_counter), "word binary, salt int, lefts binary, n0 long, n1 long").repartition("word", "salt")
+    each = each.select("word", "salt", F.explode_outer(F.split(F.col("lefts").cast("string"), "\n")).alias("left"), "n0", "n1")
+    pairs = each.groupBy("word", "salt", "left").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return stored(pairs.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("left").alias("neighbours")), "toxicity-words")
 
 
 class Model:
     """Interpolated Kneser-Ney: a class's discounted word counts, and what the discount frees goes to
-    the distribution of distinct left neighbours, which both classes share."""
-
-    def __init__(self, counts: np.ndarray, neighbours: np.ndarray) -> None:
-        self.counts = counts.astype(np.float32)
-        shared = neighbours + 0.5
-        self.shared = (shared / shared.sum()).astype(np.float32)
-        self.total = np.maximum(counts.sum(1), 1.0)
-        self.free = np.maximum(np.minimum(counts, DISCOUNT).sum(1), 0.5) / self.total
-
-    def ratio(self, slots: np.ndarray, without: int | None = None) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary); as if a document of class `without`, which
-        holds these words, had not been counted."""
-        logs = []
-        for c in (1, 0):
-            n = self.counts[c][slots]
-            if without == c:
-                n = np.maximum(n - 1, 0)
-            logs.append(np.log(np.maximum(n - DISCOUNT, 0) / self.total[c] + self.free[c] * self.shared[slots]))
-        return logs[0] - logs[1]
+    the distribution of distinct left neighbours, which both classes share.
+
+    Words that the discount takes away in both classes, and words never seen, have one ratio, so blocks
+    hold the other words only: the words, joined by newlines, and their ratios as they are and as if a
+    document of class 0 or 1 with the word had not been counted.
+    """
+
+    def __init__(self, words: DataFrame, bits: int) -> None:
+        told = F.greatest("n0", "n1") > DISCOUNT
+        sums = [f(F.col(c)) for c in ("n0", "n1") for f in (F.sum, lambda c: F.sum(F.least(c.cast("double"), F.lit(DISCOUNT))))]
+        n0, cut0, n1, cut1, links, size, known = (x or 0 for x in words.agg(*sums, F.sum("neighbours"), F.count("*"), F.count_if(told)).first())
+        total = [max(float(n), 1.0) for n in (n0, n1)]
+        free = [max(float(c), 0.5) / t for c, t in zip((cut0, cut1), total)]
+        whole = links + 0.5 * max(size, 1 << bits)
+        self.other = float(np.log(free[1]) - np.log(free[0]))
+        n_blocks = max(-(-known // BLOCK), 1)
+        at = words.where(told).withColumn("block", F.pmod(F.xxhash64("word"), F.lit(n_blocks)))
+        self.blocks = []
+        for k in range(n_blocks):
+            t = at.where(F.col("block") == k).drop("block").toArrow()
+            n, shared = (t["n0"].to_numpy(), t["n1"].to_numpy()), (t["neighbours"].to_numpy() + 0.5) / whole
+
+            def logs(c, less=0, n=n, shared=shared):
+                return np.log(np.maximum(n[c] - less - DISCOUNT, 0) / total[c] + free[c] * shared)
+
+            ratios = np.stack([logs(1) - logs(0), logs(1) - logs(0, 1), logs(1, 1) - logs(0)]).astype(np.float32)
+            self.blocks.append(words.sparkSession.sparkContext.broadcast((b"\n".join(t["word"].to_pylist()), ratios)))
+
+    def apply(self, rows: DataFrame, text: str, finish, schema: str, without: str | None = None) -> DataFrame:
+        """`rows`, whose texts are binary, through finish(batch, ratios of each text's words); as if a text of
+        class `without` had not been counted. All passes but the last store the ratios so far beside the rows."""
+        kinds, at = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes), rows.columns.index(text)
+        y = rows.columns.index(without) if without else None
+        width, other, extra = len(rows.columns), np.float32(self.other), max(rows.columns, key=len) + "_ratios"
+
+        def one(block, first, last):
+            def run(batches: Iterable) -> Iterable:
+                import pyarrow as pa
+
+                joined, table = block.value
+                index = {w: i for i, w in enumerate(joined.split(b"\n"))} if joined else {}
+                table = np.column_stack([table, np.full(3, np.nan, np.float32)])
+                for b in slices(batches, lambda x: text_bytes(x.column(at)), BATCH_BYTES):
+                    texts = b.column(at).to_pylist()
+                    picks = [0] * len(texts) if y is None else [2 if v else 1 for v in b.column(y).to_pylist()]
+                    before = [None] * len(texts) if first else b.column(width).to_pylist()
+                    found = []
+                    for t, pick, old in zip(texts, picks, before):
+                        words = words_of(t)
+                        got = table[pick][np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))]
+                        found.append(np.where(np.isnan(got), other if first else np.frombuffer(old, np.float32), got))
+                    rest = pa.RecordBatch.from_arrays(b.columns[:width], b.schema.names[:width])
+                    if last:
+                        yield finish(rest, found)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([f.astype(np.float32).tobytes() for f in found], pa.binary())], [*rest.schema.names, extra])
+
+            return run
+
+        for k, block in enumerate(self.blocks):
+            last = k == len(self.blocks) - 1
+            rows = rows.mapInArrow(lean(one(block, k == 0, last)), schema if last else f"{kinds}, `{extra}` binary")
+            rows = rows if last else stored(rows, "toxicity-ratios")
+        return rows
 
 
 def features(ratios: np.ndarray) -> tuple[float, float, float]:
@@ -121,58 +162,45 @@ def features(ratios: np.ndarray) -> tuple[float, float, float]:
     return float(total[-1] / len(ratios)), float((total[w:] - total[:-w]).max() / WINDOW), float(best.sum() / TOP)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, calibration: int = CALIBRATION) -> tuple[np.ndarray, np.ndarray]:
-    """The log ratio of every slot, and the calibration's weights. All teaching rows are counted; a
-    sample of them, each as if it had not been counted, fits the calibration. Null labels don't teach, of
-    labels that repeat an id the largest does, null texts are empty; with one class or no labels at all
-    every score is that class's smoothed share (one half without labels)."""
-    counts, neighbours = gather(teaching_rows(docs, labels, label, id_col, text_col), bits)
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((counts.astype(np.float32), neighbours.astype(np.float32)))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, calibration: int = CALIBRATION) -> tuple[Model, np.ndarray]:
+    """The model, and the calibration's weights. All teaching rows are counted; a sample of them, each as
+    if it had not been counted, fits the calibration. Null labels don't teach, of labels that repeat an id
+    the largest does, null texts are empty; with one class or no labels at all every score is that class's
+    smoothed share (one half without labels)."""
+    model = Model(gather(teaching_rows(docs, labels, label, id_col, text_col)), bits)
 
-    def run(batches: Iterable) -> Iterable:
+    def finish(b, found):
         import pyarrow as pa
 
-        model = Model(*shipped.value)
-        for b in slices(batches, lambda x: text_bytes(x.column(1)), BATCH_BYTES):
-            out = []
-            for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                s = word_slots(text, bits)
-                out.append(features(model.ratio(s, 1 if y else 0)))
-            f = np.array(out).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(3)), b.column(2)], ["a", "b", "c", "y"])
+        f = np.array([features(x) for x in found]).reshape(-1, 3)
+        return pa.RecordBatch.from_arrays([*(pa.array(f[:, i]) for i in range(3)), b.column(2)], ["a", "b", "c", "y"])
 
-    sample = teaching_rows(docs, labels, label, id_col, text_col, calibration).mapInArrow(lean(run), "a double, b double, c double, y int").toPandas()
+    rows = teaching_rows(docs, labels, label, id_col, text_col, calibration)
+    sample = model.apply(rows, "text", finish, "a double, b double, c double, y int", "y").toPandas()
     weights = logistic(sample[["a", "b", "c"]].to_numpy(float), (sample["y"] > 0).to_numpy(float))
-    model = Model(counts, neighbours)
-    return model.ratio(np.arange(1 << bits)).astype(np.float32), weights
+    return model, weights
 
 
-def score(docs: DataFrame, ratios: np.ndarray, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs` and toxic_score (0 to 1), which takes the place of a column of that name. A
     text without words gets what the calibration says of no evidence."""
     docs = docs.drop("toxic_score")
-    shipped, bits = docs.sparkSession.sparkContext.broadcast((ratios, weights)), int(np.log2(len(ratios)))
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterable) -> Iterable:
+    def finish(b, found):
         import pyarrow as pa
 
-        table, w = shipped.value
-        for b in slices(batches, lambda x: text_bytes(x.column(at)), BATCH_BYTES):
-            f = np.array([features(table[word_slots(t, bits)]) for t in b.column(at).to_pylist()]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "toxic_score"])
+        f = np.array([features(x) for x in found]).reshape(-1, 3)
+        p = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "toxic_score"])
 
     kinds = dict(docs.dtypes)
     plain = docs.select(*[F.col(c).cast("binary").alias(c) if c == text_col else F.col(c) for c in docs.columns])
     schema = ", ".join(f"`{c}` {'binary' if c == text_col else kinds[c]}" for c in docs.columns) + ", toxic_score double"
-    out = plain.mapInArrow(lean(run), schema)
+    out = model.apply(plain, text_col, finish, schema)
     return out.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns], "toxic_score")
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ratios, weights = fit(docs, table(spark, sf_dir, "labels"))
-    out = score(docs, ratios, weights)
+    out = score(docs, *fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))

@@ -1,5 +1,6 @@
 import itertools
 import re
+import zlib
 
 import numpy as np
 
@@ -161,3 +162,41 @@ def test_classifiers_without_labels(spark, documents):
     assert all(abs(r.toxic_score - 0.5) < 1e-6 for r in toxicity.score(docs, *toxicity.fit(docs, marks, bits=12)).collect())
     assert all(r.score == 0.5 for r in quality.score(docs, quality.fit(docs, marks)).collect())
     assert quality.score(documents([]), quality.fit(documents([]), marks)).count() == 0
+
+
+def test_toxicity_counts_every_neighbour(spark, documents, monkeypatch):
+    """Scores from plain dictionaries: a word has 300 left neighbours, and words outnumber 2^bits."""
+    from math import log
+
+    from skeinwork.llm.labelled import logistic
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{a} hub" if p else f"{a} vile" for a, p in zip((f"w{x}" for x in rng.integers(0, 300, 30)), rng.random(30) < (0.5 if i % 4 else 0.8))), "s") for i in range(200)]
+    labels = {i: int(i % 4 == 0) for i in range(200)}
+    words = {i: t.split() for i, t, _ in rows}
+    taught = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5}
+    count, left = ({}, {}), set()
+    for i, y in taught.items():
+        for w in set(words[i]):
+            count[y][w] = count[y].get(w, 0) + 1
+        left |= set(zip(words[i], words[i][1:]))
+    near = {}
+    for _, w in left:
+        near[w] = near.get(w, 0) + 1
+    assert near["hub"] > 250
+    whole = len(left) + 0.5 * max(16, len(count[0] | count[1]))
+    total = [sum(c.values()) for c in count]
+    free = [sum(min(n, toxicity.DISCOUNT) for n in c.values()) / t for c, t in zip(count, total)]
+
+    def feature(i, without=None):
+        p = [[log(max(count[c].get(w, 0) - (without == c) - toxicity.DISCOUNT, 0) / total[c] + free[c] * (near.get(w, 0) + 0.5) / whole) for w in words[i]] for c in (0, 1)]
+        return toxicity.features(np.array(p[1]) - np.array(p[0]))
+
+    w = logistic(np.array([feature(i, y) for i, y in taught.items()]), np.array([float(y) for y in taught.values()]))
+    want = {i: 1 / (1 + np.exp(-(np.dot(feature(i), w[:-1]) + w[-1]))) for i in words}
+    docs, marks = documents(rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    for block, held in ((toxicity.BLOCK, toxicity.HELD), (100, 500)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "HELD", held)
+        got = {r.doc_id: r.toxic_score for r in toxicity.score(docs, *toxicity.fit(docs, marks, bits=4)).collect()}
+        assert max(abs(got[i] - want[i]) for i in want) < 1e-4
