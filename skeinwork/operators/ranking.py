@@ -42,16 +42,17 @@ def exemplar_scores(near: DataFrame, categories: DataFrame, skip: int = 0) -> Da
 def exemplars(near: DataFrame, categories: DataFrame, wanted: int = 16, skip: int = 0, exclude: bool = True) -> DataFrame:
     """(category, place, id, centrality, separation, foil_rank, foil_id): the best of each category by
     centrality and separation. With `exclude`, a neighbour that comes before the foil of a better exemplar
-    is passed over, as it would show the same again; that pass sees a category's best candidates alone,
-    as many as `wanted` exemplars can exclude."""
+    is passed over, as it would show the same again; that pass sees a category's best candidates alone, as
+    many as `wanted` exemplars can exclude by the longest list of such neighbours in the category."""
     scores = exemplar_scores(near, categories, skip)
     ranked = multiobjective_rank(scores, [F.col("centrality").desc(), F.col("separation").desc()], "id", ["category"])
     names = ["category", "place", "id", "centrality", "separation", "foil_rank", "foil_id"]
     if not exclude:
         return ranked.where(F.col("place") <= wanted).select(names)
     cover = near.join(scores.select(F.col("id").alias("i"), "foil_rank"), "i").where(F.col("foil_rank").isNull() | (F.col("rank") < F.col("foil_rank"))).groupBy("i").agg(F.collect_list("j").alias("near"))
-    limit = wanted * 64
-    todo = ranked.where(F.col("place") <= limit).join(cover.withColumnRenamed("i", "id"), "id", "left")
+    longest = F.max(F.coalesce(F.col("foil_rank") - 1, F.col("centrality") + skip)).over(Window.partitionBy("category"))
+    best = ranked.withColumn("_longest", longest).where(F.col("place") <= wanted * (F.col("_longest") + 1))
+    todo = best.join(cover.withColumnRenamed("i", "id"), "id", "left")
 
     def run(pdf):
         hidden, keep = set(), []

@@ -147,6 +147,15 @@ def test_exemplars(spark):
     assert set(out.groupby("category")["place"].max()) <= {1, 2, 3, 4}
 
 
+def test_exemplars_beyond_long_shadows(spark):
+    """The best point hides the next 149; two more remain, and all of them are found."""
+    n = 152
+    near = spark.createDataFrame([(0, r, r, r / 1000) for r in range(1, 150)] + [(0, 150, n, 1.0)] + [(i, 1, n, 1.0 / (1 + i)) for i in range(1, n)], "i long, rank int, j long, d double")
+    cats = spark.createDataFrame([(i, int(i == n)) for i in range(n + 1)], "id long, category int")
+    out = R.exemplars(near, cats, 2).where("category = 0").orderBy("place").collect()
+    assert [r.id for r in out] == [0, 150]
+
+
 def test_multiobjective(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 9, 30), rng.integers(0, 9, 30)
