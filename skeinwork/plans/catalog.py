@@ -458,6 +458,17 @@ def chain_distance(spark, d):
     return G.chain_distances(G.group_trees(points(spark, d).where("label < 3"), "label"), "label").select("label", "i", "j", *r6("c"))
 
 
+#: The three queries named ..._all_labels take every label; those of the shorter names are held to what their SQL covers.
+@query("mst_all_labels")
+def mst_all_labels(spark, d):
+    return G.group_trees(points(spark, d), "label").select("label", "fr", "to", *r6("d"))
+
+
+@query("chain_distance_all_labels")
+def chain_distance_all_labels(spark, d):
+    return G.chain_distances(G.group_trees(points(spark, d), "label"), "label").select("label", "i", "j", *r6("c"))
+
+
 @query("spanning_forest")
 def spanning_forest(spark, d):
     return G.minimum_spanning_forest(N.neighbour_edges(N.nearest(points(spark, d), 10)))
@@ -526,6 +537,12 @@ def dendrogram_root(spark, d):
     return t.select("label", "n", *r6("scale", "mean"), F.round("internal", 4).alias("internal"), *r6("quality", "isolation_mean"))
 
 
+@query("dendrogram_root_all_labels")
+def dendrogram_root_all_labels(spark, d):
+    t = K.multiscale(points(spark, d), "label").where("parent = -1")
+    return t.select("label", "n", *r6("scale", "mean"), F.round("internal", 4).alias("internal"), *r6("quality", "isolation_mean"))
+
+
 @query("dendrogram_stats")
 def dendrogram_stats(spark, d):
     return K.multiscale(points(spark, d), "label").drop("vertices", "isolation", "outlier")

@@ -134,6 +134,31 @@ def test_typicality_and_watersheds(spark):
     assert root[min(range(61), key=lambda i: np.hypot(*x[i]))] == min(range(61), key=lambda i: np.hypot(*x[i]))
 
 
+def test_trees_of_all_labels(spark):
+    from skeinwork.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    groups = {}
+    for r in sorted(spark.read.parquet(f"{d}/embeddings.parquet").collect(), key=lambda r: r.vec_id):
+        groups.setdefault(r.label, []).append(r)
+    edges, links, roots = ({}, {}, {})
+    for name, out in (("mst_all_labels", edges), ("chain_distance_all_labels", links), ("dendrogram_root_all_labels", roots)):
+        for r in QUERIES[name](spark, d).collect():
+            out.setdefault(r.label, []).append(r)
+    assert set(roots) == set(groups) and max(groups) >= 3
+    for label, rows in groups.items():
+        ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+        c = distance_block(x, x)
+        for k in range(len(x)):
+            c = np.minimum(c, np.maximum(c[:, k][:, None], c[k][None, :]))
+        pairs = {(ids[a], ids[b]): c[a, b] for a in range(len(x)) for b in range(a + 1, len(x))}
+        got = {(r.i, r.j): r.c for r in links.get(label, [])}
+        assert set(got) == set(pairs) and all(abs(got[p] - pairs[p]) < 1e-5 for p in pairs)
+        assert len(edges.get(label, [])) == len(x) - 1
+        assert all(abs(r.d - pairs[min(r.fr, r.to), max(r.fr, r.to)]) < 1e-5 for r in edges.get(label, []))
+        assert roots[label][0].n == len(x) and abs(roots[label][0].internal - sum(pairs.values())) < 1e-3
+
+
 def test_exemplars(spark):
     x = cloud()
     p = frame(spark, x).withColumn("category", (F.col("id") >= 30).cast("int"))
