@@ -360,7 +360,7 @@ def jeffreys_ci(spark, d):
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     x = table(spark, d, "supplier").withColumn("g", F.col("s_nationkey"))
-    return I.bootstrap_intervals(x, "g", "s_acctbal", samples=2000)
+    return I.bootstrap_intervals(x, "g", "s_acctbal")
 
 
 @query("fisher_counts", ITEMS + "SELECT segment, count(*) FILTER (private) AS a, count(*) FILTER (NOT private) AS b, (SELECT count(*) FILTER (private) FROM items) AS c, (SELECT count(*) FILTER (NOT private) FROM items) AS d FROM items GROUP BY segment")

@@ -82,3 +82,16 @@ def test_bootstrap_and_fit():
 def test_strength(spark):
     s = lambda c, v: spark.range(1).select(I.strength(c, F.lit(v)).alias("x")).first().x
     assert s("genres(Music)", 0.0255) == "+0.26% Music" and s("log_posts", 1.0) == "×1.11" and s("plain", 2.5) == "2.5"
+
+
+def test_bootstrap_query_takes_the_default(spark):
+    from skeinwork.plans.catalog import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    values = {}
+    for r in spark.read.parquet(f"{d}/supplier.parquet").select("s_nationkey", "s_acctbal").collect():
+        values.setdefault(r.s_nationkey, []).append(float(r.s_acctbal))
+    got = {r.g: (r.low, r.high) for r in QUERIES["bootstrap_ci"](spark, d).collect()}
+    assert got
+    for g, ci in got.items():
+        assert ci == I.bootstrap_interval(np.sort(values[g]))
