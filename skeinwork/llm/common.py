@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt anew if it is read in fewer tasks than there are cores (a small table in one row group),
+    for steps that cost far more than a shuffle of their input; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names no such folder (single-machine tests) a temporary one is made.
+    Only on a single machine, where the session names no such folder, a temporary one is made; on a
+    cluster that is an error, as each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -34,8 +45,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def positional(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` of `df` under the names c0, c1, ..., which no name can clash with."""
+    return df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)])
+
+
 def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(quoted(name), F.lit(""))
 
 
 def small_side(df: DataFrame, limit: int) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Labels up to this many rows are broadcast to the documents; beyond it the join shuffles.
 BROADCAST_LABELS = 3_000_000
 
@@ -24,7 +26,7 @@ def teaching_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str =
     if sample is not None and n > sample:
         y = y.where(F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
         n = sample
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("binary").alias("text"))
     return rows.join(F.broadcast(y) if n <= BROADCAST_LABELS else y, F.col("id") == F.col("_id")).select("id", "text", "y")
 
 

@@ -1,34 +1,33 @@
-"""Toxicity by class-conditional Kneser-Ney models of words."""
+"""Toxicity by class-conditional Kneser-Ney bigram models."""
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from .common import stored, table
+from .common import positional, spread, stored, table
 from .labelled import held_out, logistic, teaching_rows
 from .tokens import lean, slices, text_bytes
 
 #: The shared distribution keeps half a count for each of 2^BITS words, or of all words there are if more.
 BITS = 20
-#: `word_slots` and CONTEXTS tell words and left neighbours apart in the brute-force test alone.
-CONTEXTS = 32
-#: Words of a block of the model that is broadcast; of more blocks each takes a pass over the texts.
-BLOCK = 500_000
-#: Words and pairs that a counting task holds before it hands them on.
-HELD = 200_000
-#: Rows to which the left neighbours of a word are dealt; results don't depend on it.
-SALTS = 16
-#: Discount of absolute discounting (in documents), words of the windows and number of the words whose
-#: ratios count, documents that fit the calibration at most.
-DISCOUNT, WINDOW, TOP, CALIBRATION = 3.0, 2, 3, 12_000
+#: Entries of a block of the model that is broadcast; of more blocks each takes a pass over the texts.
+BLOCK = 2_000_000
+#: Pairs that a counting task holds before it hands their counts on.
+HELD = 1_000_000
+#: Rows to which the left neighbours of a hot word are dealt, the share of sampled documents that makes a
+#: word hot, and documents sampled for that; results don't depend on them.
+SALTS, HOT_SHARE, HOT_SAMPLE = 32, 0.02, 2_000
+#: Discounts (in documents) of words and of pairs, number of the words that make the worst passage, and
+#: documents that fit the calibration at most. Chosen by folds among the teaching rows alone.
+DISCOUNT, PAIR_DISCOUNT, TOP, CALIBRATION = 3.0, 10.0, 3, 12_000
 BATCH_BYTES = 4 << 20
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_PAIR, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -36,87 +35,194 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").decode("utf-8", "replace").lower().encode().translate(_BLANK).split()
 
 
-def word_slots(text: bytes | None, bits: int) -> np.ndarray:
-    """`bits` of each word's hash."""
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes; two of a hundred million words share one with odds of 3 in 10,000."""
     from xxhash import xxh3_64_intdigest
 
-    words = words_of(text)
-    return (np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _counter(batches: Iterable) -> Iterable:
-    """Per task: (word, 0, null, ordinary, toxic) documents with a word, and (word, salt, lefts, 0, 0) for its
-    left neighbours, joined by newlines; a neighbour's checksum deals those of a common word to SALTS
-    rows. A word counts once a document: one that is rare but repeated in a text says little."""
-    import pyarrow as pa
-
-    def batch(words, salts, lefts, n0, n1):
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(salts, pa.int32()), pa.array(lefts, pa.binary()), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())], ["word", "salt", "lefts", "n0", "n1"])
-
-    def out(counts, pairs):
-        words = list(counts[0].keys() | counts[1].keys())
-        yield batch(words, np.zeros(len(words), np.int32), [None] * len(words), *([c[w] for w in words] for c in counts))
-        lefts = defaultdict(list)
-        for v, w in pairs:
-            lefts[w, zlib.crc32(v) % SALTS].append(v)
-        nothing = np.zeros(len(lefts), np.int64)
-        yield batch([w for w, _ in lefts], [k for _, k in lefts], [b"\n".join(v) for v in lefts.values()], nothing, nothing)
-
-    counts, pairs = (Counter(), Counter()), set()
-    for b in slices(batches, lambda x: text_bytes(x.column(1)), BATCH_BYTES):
-        for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            words = words_of(text)
-            counts[1 if y else 0].update(set(words))
-            pairs.update(zip(words, words[1:]))
-            if len(pairs) + len(counts[0]) + len(counts[1]) > HELD:
-                yield from out(counts, pairs)
-                counts, pairs = (Counter(), Counter()), set()
-    yield from out(counts, pairs)
-
-
-def gather(rows: DataFrame) -> DataFrame:
-    """(word, n0, n1, neighbours): ordinary and toxic documents with a word, and its distinct left
-    neighbours in both together."""
-    each = rows.select("id", "text", "y").mapInArrow(lean(_counter), "word binary, salt int, lefts binary, n0 long, n1 long").repartition("word", "salt")
-    each = each.select("word", "salt", F.explode_outer(F.split(F.col("lefts").cast("string"), "\n")).alias("left"), "n0", "n1")
-    pairs = each.groupBy("word", "salt", "left").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return stored(pairs.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("left").alias("neighbours")), "toxicity-words")
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """64-bit keys of word pairs from the keys of their words."""
+    x = (left * _PAIR + right) * _STEP
+    return x ^ (x >> np.uint64(29))
+
+
+def _keyed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the words of all texts, the text that each is of, and the places of those that have a
+    word on their left."""
+    words = [words_of(t) for t in texts]
+    of = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    keys = word_keys([w for ws in words for w in ws])
+    return keys, of, np.flatnonzero(of[1:] == of[:-1]) + 1 if len(of) else of
+
+
+def _once(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places of the first of each key in each text."""
+    return np.unique(pair_keys(of.astype(np.uint64), keys), return_index=True)[1]
+
+
+def _by_class(keys: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the first of each key, and how many are of class 0 and of class 1."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    n, n1 = np.bincount(back, minlength=len(first)), np.bincount(back, y, len(first)).astype(np.int64)
+    return first, n - n1, n1
+
+
+def hot_words(rows: DataFrame) -> np.ndarray:
+    """Keys of the words in over HOT_SHARE of the texts (at least 20): at most a text's mean of distinct
+    words / HOT_SHARE."""
+    share = HOT_SHARE
+
+    def run(batches: Iterable) -> Iterable:
+        import pyarrow as pa
+
+        for b in slices(batches, lambda x: text_bytes(x.column(0)), BATCH_BYTES):
+            keys, of, _ = _keyed(b.column(0).to_pylist())
+            word, n = np.unique(keys[_once(keys, of)], return_counts=True)
+            often = n > share * b.num_rows / 4
+            yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], ["word", "n"])
+
+    total = rows.count()
+    counts = rows.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.array([r.word for r in counts.where(F.col("n") >= max(20, share * total)).select("word").collect()], np.int64).view(np.uint64)
+
+
+def _counter(hot):
+    """Per task: (word, 0, null, documents by class, pairs that it begins by class) and, for each left
+    neighbour of a word, (word, salt, neighbour, documents by class, 0, 0); words by their keys.
+
+    A word or pair counts once a document: what is rare but repeated in one text says little of others.
+    """
+    names = ["word", "salt", "left", "n0", "n1", "r0", "r1"]
+
+    def out(words, pairs):
+        import pyarrow as pa
+
+        word, y = map(np.concatenate, zip(*words))
+        left, right, z = map(np.concatenate, zip(*pairs))
+        first, n0, n1 = _by_class(word, y)
+        begun, r0, r1 = _by_class(left, z)
+        word, begun = word[first], left[begun]  # both sorted; what begins a pair is a word
+        r = np.zeros((2, len(word)), np.int64)
+        r[:, np.searchsorted(word, begun)] = r0, r1
+        none = pa.nulls(len(word), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.zeros(len(word), np.int32)), none, *map(pa.array, (n0, n1, *r))], names)
+        first, n0, n1 = _by_class(pair_keys(left, right), z)
+        left, right = left[first], right[first]
+        salt = np.where(np.isin(right, hot.value), (left % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
+        nothing = pa.array(np.zeros(len(first), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(right.view(np.int64)), pa.array(salt), pa.array(left.view(np.int64)), pa.array(n0), pa.array(n1), nothing, nothing], names)
+
+    def run(batches: Iterable) -> Iterable:
+        words, pairs, held = [], [], 0
+        for b in slices(batches, lambda x: text_bytes(x.column(1)), BATCH_BYTES):
+            keys, of, inner = _keyed(b.column(1).to_pylist())
+            y = (b.column(2).to_numpy(zero_copy_only=False) > 0)[of]
+            at = _once(keys, of)
+            words.append((keys[at], y[at]))
+            left, right = keys[inner - 1], keys[inner]
+            at = _once(pair_keys(left, right), of[inner])
+            pairs.append((left[at], right[at], y[inner][at]))
+            held += len(at)
+            if held > HELD:
+                yield from out(words, pairs)
+                words, pairs, held = [], [], 0
+        if words:
+            yield from out(words, pairs)
+
+    return run
+
+
+def gather(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(word, n0, n1, r0, r1, neighbours, told): ordinary and toxic documents with a word, pairs that it
+    begins in them, its distinct left neighbours in both classes together, and those (left, n0, n1) that
+    over PAIR_DISCOUNT documents of a class have. Words and neighbours are 64-bit keys.
+
+    Words are dealt to tasks, and the neighbours of `hot` words to SALTS rows each, so that no row holds
+    more than a share of them.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast(hot)
+    each = rows.select("id", "text", "y").mapInArrow(lean(_counter(shipped)), "word long, salt int, left long, n0 long, n1 long, r0 long, r1 long")
+    pairs = each.repartition("word", "salt").groupBy("word", "salt", "left").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "r0", "r1")])
+    own = [F.sum(F.when(F.col("left").isNull(), F.col(c)).otherwise(0)).alias(c) for c in ("n0", "n1")]
+    strong = F.when(F.col("left").isNotNull() & (F.greatest("n0", "n1") > PAIR_DISCOUNT), F.struct("left", "n0", "n1"))
+    words = pairs.groupBy("word", "salt").agg(*own, F.sum("r0").alias("r0"), F.sum("r1").alias("r1"), F.count("left").alias("neighbours"), F.collect_list(strong).alias("told"))
+    return stored(words, "toxicity-words")
 
 
 class Model:
-    """Interpolated Kneser-Ney: a class's discounted word counts, and what the discount frees goes to
-    the distribution of distinct left neighbours, which both classes share.
+    """Interpolated Kneser-Ney models of the two classes, as log ratios of toxic to ordinary.
+
+    A class's word after another is told by its discounted pair counts; what the discount frees goes to
+    its discounted word counts, and what that discount frees goes to the distribution of distinct left
+    neighbours, which both classes share:
 
-    Words that the discount takes away in both classes, and words never seen, have one ratio, so blocks
-    hold the other words only: the words, joined by newlines, and their ratios as they are and as if a
-    document of class 0 or 1 with the word had not been counted.
+        p(w | v) = max(n(v,w) - PAIR_DISCOUNT, 0) / n(v,.) + g(v) q(w)
+        q(w) = max(n(w) - DISCOUNT, 0) / n + f s(w),  s(w) = (distinct left neighbours of w + 1/2) / all
+
+    with g and f such that each sums to one. Where neither class tells a pair its log ratio is one term of
+    v plus one of w, and that of words which neither class tells is one constant; so the model is a table
+    of terms: of told words, of words that begin told pairs, and what told pairs add. Terms are kept as
+    they are and as if a document of class 0 or 1 with the word and pair had not been counted (the sums
+    n and n(v,.) and the shared counts as they are). Tables are cut by key into blocks of about BLOCK
+    entries, each broadcast.
     """
 
-    def __init__(self, words: DataFrame, bits: int) -> None:
+    def __init__(self, counts: DataFrame, bits: int) -> None:
+        sums = [F.sum(c).alias(c) for c in ("n0", "n1", "r0", "r1", "neighbours")]
+        words = stored(counts.groupBy("word").agg(*sums), "toxicity-merged")
+        pairs = counts.select("word", F.explode("told").alias("t")).select("t.left", "word", F.col("t.n0").alias("p0"), F.col("t.n1").alias("p1"))
         told = F.greatest("n0", "n1") > DISCOUNT
-        sums = [f(F.col(c)) for c in ("n0", "n1") for f in (F.sum, lambda c: F.sum(F.least(c.cast("double"), F.lit(DISCOUNT))))]
-        n0, cut0, n1, cut1, links, size, known = (x or 0 for x in words.agg(*sums, F.sum("neighbours"), F.count("*"), F.count_if(told)).first())
+        cut = [F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))) for c in ("n0", "n1")]
+        n0, n1, cut0, cut1, links, size, known = (x or 0 for x in words.agg(F.sum("n0"), F.sum("n1"), *cut, F.sum("neighbours"), F.count("*"), F.count_if(told)).first())
         total = [max(float(n), 1.0) for n in (n0, n1)]
         free = [max(float(c), 0.5) / t for c, t in zip((cut0, cut1), total)]
         whole = links + 0.5 * max(size, 1 << bits)
         self.other = float(np.log(free[1]) - np.log(free[0]))
-        n_blocks = max(-(-known // BLOCK), 1)
-        at = words.where(told).withColumn("block", F.pmod(F.xxhash64("word"), F.lit(n_blocks)))
-        self.blocks = []
-        for k in range(n_blocks):
-            t = at.where(F.col("block") == k).drop("block").toArrow()
-            n, shared = (t["n0"].to_numpy(), t["n1"].to_numpy()), (t["neighbours"].to_numpy() + 0.5) / whole
 
-            def logs(c, less=0, n=n, shared=shared):
-                return np.log(np.maximum(n[c] - less - DISCOUNT, 0) / total[c] + free[c] * shared)
+        def rest(c: int):
+            """The share that class c's pairs after `left` leave to its words."""
+            return F.sum(F.greatest(F.col(f"p{c}") - PAIR_DISCOUNT, F.lit(0.0))).alias(f"k{c}")
+
+        pairs = stored(pairs, "toxicity-pairs")
+        lefts = pairs.groupBy(F.col("left").alias("word")).agg(rest(0), rest(1)).join(words.select("word", "r0", "r1"), "word")
+        lefts = stored(lefts.select("word", *[F.when(F.col(f"r{c}") > 0, 1 - F.col(f"k{c}") / F.col(f"r{c}")).otherwise(1.0).alias(f"g{c}") for c in (0, 1)], "r0", "r1"), "toxicity-lefts")
+        told_words = words.where(told).select("word", "n0", "n1", "neighbours")
+        told_words = told_words.join(lefts.select("word", "g0", "g1"), "word", "left").fillna(1.0, ["g0", "g1"])
+        history = lefts.withColumnRenamed("word", "left")
+        told_pairs = pairs.join(history, "left").join(words.select("word", "n0", "n1", "neighbours"), "word")
+        entries = known + pairs.count()
+        n_blocks = max(-(-entries // BLOCK), 1)
 
-            ratios = np.stack([logs(1) - logs(0), logs(1) - logs(0, 1), logs(1, 1) - logs(0)]).astype(np.float32)
-            self.blocks.append(words.sparkSession.sparkContext.broadcast((b"\n".join(t["word"].to_pylist()), ratios)))
+        def mine(df: DataFrame, key: str, k: int):
+            return (df.where(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == k) if n_blocks > 1 else df).toArrow()
 
-    def apply(self, rows: DataFrame, text: str, finish, schema: str, without: str | None = None) -> DataFrame:
-        """`rows`, whose texts are binary, through finish(batch, ratios of each text's words); as if a text of
-        class `without` had not been counted. All passes but the last store the ratios so far beside the rows."""
-        kinds, at = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes), rows.columns.index(text)
+        def q(t, c, less):
+            return np.maximum(t[f"n{c}"].to_numpy() - less - DISCOUNT, 0) / total[c] + free[c] * (t["neighbours"].to_numpy() + 0.5) / whole
+
+        def p(t, c, less):
+            pair, right, rest = t[f"p{c}"].to_numpy(), t[f"r{c}"].to_numpy(), t[f"g{c}"].to_numpy()
+            return np.maximum(pair - less - PAIR_DISCOUNT, 0) / np.maximum(right, 1) + rest * q(t, c, less)
+
+        def views(f, t):
+            return np.stack([np.log(f(t, 1, b)) - np.log(f(t, 0, a)) for a, b in ((0, 0), (1, 0), (0, 1))], 1)
+
+        self.blocks = []
+        for k in range(n_blocks):
+            w, x = mine(told_words, "word", k), mine(told_pairs, "word", k)
+            key = np.concatenate([w["word"].to_numpy().view(np.uint64), pair_keys(x["left"].to_numpy().view(np.uint64), x["word"].to_numpy().view(np.uint64))])
+            after = np.log(w["g1"].to_numpy()) - np.log(w["g0"].to_numpy())
+            more = views(p, x) - views(q, x) - (np.log(x["g1"].to_numpy()) - np.log(x["g0"].to_numpy()))[:, None]
+            terms = np.concatenate([np.column_stack([views(q, w) - self.other, after]), np.column_stack([more, np.zeros(len(x))])]).astype(np.float32)
+            order = np.argsort(key, kind="stable")
+            self.blocks.append(words.sparkSession.sparkContext.broadcast((key[order], terms[order])))
+
+    def apply(self, rows: DataFrame, text: str, finish, schema, without: str | None = None) -> DataFrame:
+        """`rows`, whose texts are binary, through finish(batch, ratios of each text's words); as if a text
+        of class `without` had not been counted. All passes but the last store the ratios so far beside
+        the rows."""
+        kinds, at = rows.schema, rows.columns.index(text)
         y = rows.columns.index(without) if without else None
         width, other, extra = len(rows.columns), np.float32(self.other), max(rows.columns, key=len) + "_ratios"
 
@@ -124,42 +230,50 @@ class Model:
             def run(batches: Iterable) -> Iterable:
                 import pyarrow as pa
 
-                joined, table = block.value
-                index = {w: i for i, w in enumerate(joined.split(b"\n"))} if joined else {}
-                table = np.column_stack([table, np.full(3, np.nan, np.float32)])
+                keys, terms = block.value
+                terms = np.concatenate([terms, np.zeros((1, 4), np.float32)])
+
+                def find(wanted):
+                    if not len(keys):
+                        return np.zeros(len(wanted), np.int64)
+                    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    return np.where(keys[i] == wanted, i, len(keys))
+
                 for b in slices(batches, lambda x: text_bytes(x.column(at)), BATCH_BYTES):
-                    texts = b.column(at).to_pylist()
-                    picks = [0] * len(texts) if y is None else [2 if v else 1 for v in b.column(y).to_pylist()]
-                    before = [None] * len(texts) if first else b.column(width).to_pylist()
-                    found = []
-                    for t, pick, old in zip(texts, picks, before):
-                        words = words_of(t)
-                        got = table[pick][np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))]
-                        found.append(np.where(np.isnan(got), other if first else np.frombuffer(old, np.float32), got))
+                    flat, of, inner = _keyed(b.column(at).to_pylist())
+                    keys_of, back = np.unique(flat, return_inverse=True)
+                    place = find(keys_of)[back]
+                    view = np.zeros(len(flat), np.int64) if y is None else np.where(b.column(y).to_numpy(zero_copy_only=False) > 0, 2, 1)[of]
+                    ratios = terms[place, view]
+                    ratios[inner] += terms[place[inner - 1], 3] + terms[find(pair_keys(flat[inner - 1], flat[inner])), view[inner]]
+                    if first:
+                        ratios += other
+                    else:
+                        ratios += np.frombuffer(b"".join(b.column(width).to_pylist()), np.float32)
+                    found = np.split(ratios, np.searchsorted(of, np.arange(1, b.num_rows)))
                     rest = pa.RecordBatch.from_arrays(b.columns[:width], b.schema.names[:width])
                     if last:
                         yield finish(rest, found)
                     else:
-                        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([f.astype(np.float32).tobytes() for f in found], pa.binary())], [*rest.schema.names, extra])
+                        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([f.tobytes() for f in found], pa.binary())], [*rest.schema.names, extra])
 
             return run
 
         for k, block in enumerate(self.blocks):
             last = k == len(self.blocks) - 1
-            rows = rows.mapInArrow(lean(one(block, k == 0, last)), schema if last else f"{kinds}, `{extra}` binary")
+            rows = rows.mapInArrow(lean(one(block, k == 0, last)), schema if last else StructType([*kinds, StructField(extra, BinaryType())]))
             rows = rows if last else stored(rows, "toxicity-ratios")
         return rows
 
 
 def features(ratios: np.ndarray) -> tuple[float, float, float]:
-    """The log ratio a word: over the whole text, over its most toxic window, and over its most toxic
-    words (what a short text lacks counts as zero)."""
+    """The log ratio of the likelihoods a word, over the whole text and over its TOP most toxic words in
+    their places (what a short text lacks counts as zero); and the log of the number of words, as the worst
+    of many words is worse by chance."""
     if not len(ratios):
         return 0.0, 0.0, 0.0
-    total = np.concatenate([[0.0], np.cumsum(ratios, dtype=np.float64)])
-    w = min(WINDOW, len(ratios))
     best = np.partition(ratios, -TOP)[-TOP:] if len(ratios) > TOP else ratios
-    return float(total[-1] / len(ratios)), float((total[w:] - total[:-w]).max() / WINDOW), float(best.sum() / TOP)
+    return float(ratios.mean(dtype=np.float64)), float(best.sum(dtype=np.float64) / TOP), float(np.log(len(ratios) + 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, calibration: int = CALIBRATION) -> tuple[Model, np.ndarray]:
@@ -167,7 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     if it had not been counted, fits the calibration. Null labels don't teach, of labels that repeat an id
     the largest does, null texts are empty; with one class or no labels at all every score is that class's
     smoothed share (one half without labels)."""
-    model = Model(gather(teaching_rows(docs, labels, label, id_col, text_col)), bits)
+    hot = hot_words(teaching_rows(docs, labels, label, id_col, text_col, HOT_SAMPLE))
+    model = Model(gather(teaching_rows(docs, labels, label, id_col, text_col), hot), bits)
 
     def finish(b, found):
         import pyarrow as pa
@@ -181,10 +296,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     return model, weights
 
 
-def score(docs: DataFrame, model: Model, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and toxic_score (0 to 1), which takes the place of a column of that name. A
-    text without words gets what the calibration says of no evidence."""
-    docs = docs.drop("toxic_score")
+def score(docs: DataFrame, model: Model, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """All columns of `docs`, whatever their names, and toxic_score (0 to 1), which takes the place of a
+    column of that name. Rows are scored one by one, also those that repeat an id; a null text, or one
+    without words, gets what the calibration says of no evidence."""
+    names = [c for c in docs.columns if c != "toxic_score"]
+    rows = positional(docs, names)
+    text = f"c{names.index(text_col)}"
 
     def finish(b, found):
         import pyarrow as pa
@@ -193,14 +311,12 @@ def score(docs: DataFrame, model: Model, weights: np.ndarray, id_col: str = "doc
         p = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, "toxic_score"])
 
-    kinds = dict(docs.dtypes)
-    plain = docs.select(*[F.col(c).cast("binary").alias(c) if c == text_col else F.col(c) for c in docs.columns])
-    schema = ", ".join(f"`{c}` {'binary' if c == text_col else kinds[c]}" for c in docs.columns) + ", toxic_score double"
-    out = model.apply(plain, text_col, finish, schema)
-    return out.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns], "toxic_score")
+    schema = StructType([StructField(f.name, BinaryType() if f.name == text else f.dataType) for f in rows.schema] + [StructField("toxic_score", DoubleType())])
+    out = model.apply(rows.withColumn(text, F.col(text).cast("binary")), text, finish, schema)
+    return out.withColumn(text, F.col(text).cast("string")).toDF(*names, "toxic_score")
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = score(docs, *fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))

@@ -11,55 +11,18 @@ def test_stages(spark):
     assert kept.count() == near_duplicates(docs, 5, 80, 100).where("kept").count()
     lines = corpus_pipeline.drop_lines(spark, docs, d)
     assert lines.count() == docs.count() and lines.columns == corpus_pipeline.COLUMNS
-    leaks = corpus_pipeline.drop_leaks(spark, docs, d)
+    leaks = corpus_pipeline.dropleaks(spark, docs, d)
     assert 0 < leaks.count() < docs.count()
     packed = corpus_pipeline.pack(spark, leaks, d)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in leaks.select("doc_id").collect()}
 
 
-def _toxic_ids(docs, labels):
-    """Scores from plain dictionaries of words, with no tasks, chunks or merges."""
-    import zlib
-    from math import log
-
-    import numpy as np
-
-    from skeinwork.llm import toxicity as X
-    from skeinwork.llm.labelled import logistic
-
-    size = 1 << X.BITS
-    words = {i: X.word_slots((t or "").encode(), X.BITS).tolist() for i, t in docs}
-    taught = {i: y for i, y in labels.items() if i in words and zlib.crc32(str(i).encode()) % 5}
-    count, left = ({}, {}), set()
-    for i, y in taught.items():
-        for w in set(words[i]):
-            count[y][w] = count[y].get(w, 0) + 1
-        left |= {(w, v % X.CONTEXTS) for v, w in zip(words[i], words[i][1:])}
-    marks = {}
-    for w, _ in left:
-        marks[w] = marks.get(w, 0) + 1
-    whole = len(left) + 0.5 * size
-    total = [max(sum(c.values()), 1) for c in count]
-    free = [max(sum(min(n, X.DISCOUNT) for n in c.values()), 0.5) / t for c, t in zip(count, total)]
-
-    def ratio(w, without=None):
-        p = []
-        for c in (1, 0):
-            n = count[c].get(w, 0) - (without == c)
-            p.append(log(max(n - X.DISCOUNT, 0) / total[c] + free[c] * (marks.get(w, 0) + 0.5) / whole))
-        return p[0] - p[1]
-
-    f = np.array([X.features(np.array([ratio(w, y) for w in words[i]])) for i, y in sorted(taught.items())])
-    weights = logistic(f, np.array([float(y) for _, y in sorted(taught.items())]))
-    score = {i: float(np.dot(X.features(np.array([ratio(w) for w in ws])), weights[:-1]) + weights[-1]) for i, ws in words.items()}
-    return {i for i, s in score.items() if s >= 0}, {i for i, s in score.items() if abs(s) < 1e-3}
-
-
 def test_run_against_brute_force(spark):
     import duckdb
     import numpy as np
-    from test_text_operators import _components, _leaks
+    from brute import components, leaks, toxicity
 
+    from skeinwork.llm import toxicity as X
     from skeinwork.llm.lines import OP10_SQL
     from skeinwork.llm.tokens import ChunkEncoder, tokenizer_path
 
@@ -67,15 +30,16 @@ def test_run_against_brute_force(spark):
     con = duckdb.connect()
     docs = con.sql(f"select doc_id, text, source from '{d}/documents.parquet'").fetchall()
     labels = dict(con.sql(f"select doc_id, toxic from '{d}/labels.parquet'").fetchall())
-    toxic, close = _toxic_ids([(i, t) for i, t, _ in docs], labels)
-    assert not close
+    score = toxicity([(i, t) for i, t, _ in docs], labels, X.DISCOUNT, X.PAIR_DISCOUNT, X.TOP, 1 << X.BITS)
+    assert all(abs(s - 0.5) > 1e-3 for s in score.values())
+    toxic = {i for i, s in score.items() if s >= 0.5}
     left = [r for r in docs if r[0] not in toxic]
     con.sql("create table documents(doc_id bigint, text varchar, source varchar)")
     con.executemany("insert into documents values (?, ?, ?)", left)
     lines = con.sql(f"select doc_id, text from ({OP10_SQL}) order by 1").fetchall()
-    first = [(i, t) for (i, t), c in zip(lines, _components(lines, 5, 80, 100)) if c[2] == i]
+    first = [(i, t) for (i, t), c in zip(lines, components(lines, 5, 80, 100)) if c[2] == i]
     bench = con.sql(f"select item_id, text from '{d}/benchmark.parquet'").fetchall()
-    hit = {i: h for i, _, h, _ in _leaks(first, bench)}
+    hit = {i: h for i, _, h, _ in leaks(first, bench)}
     want = {i: t for i, t in first if not hit[i]}
     pieces = {}
     for r in corpus_pipeline.run(spark, d).collect():

@@ -7,7 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from test_text_operators import _components, _leaks
+from brute import components, leaks, toxicity
 
 from skeinwork.llm.catalog import ORACLES, QUERIES
 from skeinwork.llm.tokens import ChunkEncoder, tokenizer_path
@@ -81,6 +81,15 @@ def test_op3_op8(spark, docs):
             assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= cut)
 
 
+def test_op8_against_brute_force(spark, docs):
+    from skeinwork.llm import toxicity as X
+
+    labels = {r[0]: r[2] for r in rows("labels")}
+    want = toxicity(docs, labels, X.DISCOUNT, X.PAIR_DISCOUNT, X.TOP, 1 << X.BITS)
+    got = {r.doc_id: r.score for r in QUERIES["op8_kneser_ney"](spark, DIR).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-4
+
+
 def test_op4(spark, ids):
     at, end = 0, np.array([2], "<u4").tobytes()
     got = {r.doc_id: r for r in QUERIES["op4_token_files"](spark, DIR).collect()}
@@ -104,7 +113,7 @@ def test_op5(spark, docs):
 
 
 def test_op7(spark, docs):
-    want = {i: (n, hit, found) for i, n, hit, found in _leaks(docs, rows("benchmark"))}
+    want = {i: (n, hit, found) for i, n, hit, found in leaks(docs, rows("benchmark"))}
     got = QUERIES["op7_winnowing"](spark, DIR).collect()
     assert len(got) == len(docs)
     for r in got:
@@ -115,5 +124,5 @@ def test_op7(spark, docs):
 
 def test_op9(spark, docs):
     got = QUERIES["op9_circulant_minhash"](spark, DIR).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == _components(docs, 3, 85, 100)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(docs, 3, 85, 100)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)

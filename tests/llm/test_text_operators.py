@@ -1,35 +1,12 @@
-import itertools
-import re
 import zlib
 
 import numpy as np
+from brute import components, leaks
+from brute import toxicity as toxicity_scores
 
 from skeinwork.llm import decontam, neardup, quality, secrets, toxicity
 from skeinwork.llm.common import shared_path
 
-SPACED = re.compile("[^\x20\x09-\x0d]+")
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _leaks(docs, items):
-    windows = {}
-    for i, t in items:
-        w = WORD.findall((t or "").translate(LOWER))
-        n = min(10, len(w))
-        for k in range(len(w) - n + 1) if n else ():
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
-    out = []
-    for i, t in docs:
-        w = WORD.findall((t or "").translate(LOWER))
-        hit, found = set(), set()
-        for n in {len(x) for x in windows}:
-            for k in range(len(w) - n + 1):
-                if tuple(w[k : k + n]) in windows:
-                    hit |= set(range(k, k + n))
-                    found |= windows[tuple(w[k : k + n])]
-        out.append((i, len(w), len(hit), tuple(sorted(found))))
-    return sorted(out, key=str)
 
 
 def test_contamination(spark, documents):
@@ -38,7 +15,7 @@ def test_contamination(spark, documents):
     texts = [base, base[:60], "x " + base[30:120] + " y", "three  SHORT, words; three short words", None, "", "é é one two three four five six seven eight nine", "É É one", "Solo solo", "a " * 3000 + base, "w1 " * 30]
     rows = [*enumerate(texts), (0, base)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = _leaks(rows, items)
+    want = leaks(rows, items)
     for block in (500_000, 3):
         got = decontam.contamination(documents([(i, t, "s") for i, t in rows]), bench, block_windows=block).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got), key=str) == want
@@ -47,28 +24,6 @@ def test_contamination(spark, documents):
     assert decontam.contamination(documents([]), bench).count() == 0
 
 
-def _components(docs, width, part, whole):
-    sets = []
-    for _, t in docs:
-        w = SPACED.findall((t or "").translate(LOWER))
-        n = min(width, len(w))
-        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set())
-    root = list(range(len(docs)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in itertools.combinations(range(len(docs)), 2):
-        if sets[a] and sets[b] and whole * len(sets[a] & sets[b]) >= part * len(sets[a] | sets[b]):
-            root[find(a)] = find(b)
-    least = {}
-    for k, (i, _) in enumerate(docs):
-        least[find(k)] = min(least.get(find(k), i), i)
-    return sorted((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(docs))
-
-
 def _near_copies():
     rng = np.random.default_rng(5)
     rows, i = [], 0
@@ -85,7 +40,7 @@ def _near_copies():
 
 def test_near_duplicates(documents, monkeypatch):
     rows = _near_copies()
-    want = _components(rows, 3, 85, 100)
+    want = components(rows, 3, 85, 100)
     docs = documents([(i, t, "s") for i, t in rows])
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 3, 85, 100).collect())
     assert got == want
@@ -164,39 +119,64 @@ def test_classifiers_without_labels(spark, documents):
     assert quality.score(documents([]), quality.fit(documents([]), marks)).count() == 0
 
 
-def test_toxicity_counts_every_neighbour(spark, documents, monkeypatch):
-    """Scores from plain dictionaries: a word has 300 left neighbours, and words outnumber 2^bits."""
-    from math import log
-
-    from skeinwork.llm.labelled import logistic
-
+def test_toxicity_against_brute_force(spark, documents, monkeypatch):
+    """A word has 300 left neighbours, a pair stands in most documents, words outnumber 2^bits, one text is empty."""
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join(f"{a} hub" if p else f"{a} vile" for a, p in zip((f"w{x}" for x in rng.integers(0, 300, 30)), rng.random(30) < (0.5 if i % 4 else 0.8))), "s") for i in range(200)]
-    labels = {i: int(i % 4 == 0) for i in range(200)}
-    words = {i: t.split() for i, t, _ in rows}
-    taught = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5}
-    count, left = ({}, {}), set()
-    for i, y in taught.items():
-        for w in set(words[i]):
-            count[y][w] = count[y].get(w, 0) + 1
-        left |= set(zip(words[i], words[i][1:]))
-    near = {}
-    for _, w in left:
-        near[w] = near.get(w, 0) + 1
-    assert near["hub"] > 250
-    whole = len(left) + 0.5 * max(16, len(count[0] | count[1]))
-    total = [sum(c.values()) for c in count]
-    free = [sum(min(n, toxicity.DISCOUNT) for n in c.values()) / t for c, t in zip(count, total)]
-
-    def feature(i, without=None):
-        p = [[log(max(count[c].get(w, 0) - (without == c) - toxicity.DISCOUNT, 0) / total[c] + free[c] * (near.get(w, 0) + 0.5) / whole) for w in words[i]] for c in (0, 1)]
-        return toxicity.features(np.array(p[1]) - np.array(p[0]))
-
-    w = logistic(np.array([feature(i, y) for i, y in taught.items()]), np.array([float(y) for y in taught.values()]))
-    want = {i: 1 / (1 + np.exp(-(np.dot(feature(i), w[:-1]) + w[-1]))) for i in words}
+    rows = [(i, "the end " + " ".join(f"{a} hub" if p else f"{a} vile" for a, p in zip((f"w{x}" for x in rng.integers(0, 300, 30)), rng.random(30) < (0.5 if i % 4 else 0.8))), "s") for i in range(200)]
+    rows += [(1000, None, "s"), (1001, "...", "s"), (1002, "hub", "s")]
+    labels = {i: int(i % 4 == 0) for i in range(200)} | {1000: 0, 1001: None}
     docs, marks = documents(rows), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
-    for block, held in ((toxicity.BLOCK, toxicity.HELD), (100, 500)):
+    want = toxicity_scores([r[:2] for r in rows], labels, toxicity.DISCOUNT, toxicity.PAIR_DISCOUNT, toxicity.TOP, 16)
+    for block, held, share in ((toxicity.BLOCK, toxicity.HELD, 2.0), (100, 500, 0.02)):
         monkeypatch.setattr(toxicity, "BLOCK", block)
         monkeypatch.setattr(toxicity, "HELD", held)
-        got = {r.doc_id: r.toxic_score for r in toxicity.score(docs, *toxicity.fit(docs, marks, bits=4)).collect()}
+        monkeypatch.setattr(toxicity, "HOT_SHARE", share)
+        model, weights = toxicity.fit(docs, marks, bits=4)
+        assert len(model.blocks) > (block == 100)
+        got = {r.doc_id: r.toxic_score for r in toxicity.score(docs, model, weights).collect()}
         assert max(abs(got[i] - want[i]) for i in want) < 1e-4
+
+
+def test_toxicity_survives_any_names(spark, documents):
+    docs = documents([(1, "a b", "s"), (1, "a b", "s"), (None, None, None)])
+    odd = docs.selectExpr("*", "1 AS `a.b`", "2 AS `c``d`", "3 AS c0", "named_struct('x.y', 1) AS nested")
+    marks = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    out = toxicity.score(odd, *toxicity.fit(odd, marks, bits=4))
+    assert sorted(out.columns) == sorted(odd.columns) and out.count() == 3
+
+
+def test_votes_against_dense_matrices(spark, documents):
+    """The score of every text from a dense singular value decomposition and a sort of all similarities."""
+    import re
+    from collections import Counter
+
+    rows, labels = _corpus()
+    rows = [r for r in rows if r[0] is not None and r[0] < 120] + [(1000, None, "s"), (1001, "", None), (1002, "w1 unknown", "s")]
+    marks = [(i, q, t) for i, q, t in labels if i is not None and i < 120]
+    got = {r.doc_id: r.score for r in quality.score(documents(rows), quality.fit(documents(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))).collect()}
+    y = {i: max(q for j, q, _ in marks if j == i) for i, _, _ in marks if zlib.crc32(str(i).encode()) % 5}
+
+    def terms(t):
+        return Counter(re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", t or ""))
+
+    texts = {i: t for i, t, _ in rows}
+    have = Counter(w for i in y for w in terms(texts[i]))
+    names = sorted(w for w, n in have.items() if n >= quality.LEAST)
+    words = np.array([[terms(t)[w] / max(sum(terms(t).values()), 1) for w in names] for t in texts.values()])
+    shapes = np.array([quality.term_counts((t or "").encode()) for t in texts.values()])
+    shapes = shapes / np.maximum(shapes.sum(1, keepdims=True), 1)
+    x = []
+    for part in (words, shapes):
+        part = np.sqrt(part) * (np.log((len(texts) + 1) / ((part > 0).sum(0) + 1)) + 1)
+        x.append(part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12))
+    x, at = np.hstack(x), {i: k for k, i in enumerate(texts)}
+    taught = [at[i] for i in sorted(y)]
+    space = np.linalg.svd(x[taught], full_matrices=False)[2][: quality.RANK].T
+    z = x @ space
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    label, prior = np.array([y[i] for i in sorted(y)]), (sum(y.values()) + 0.5) / (len(y) + 1)
+    for i, k in at.items():
+        near = sorted(((float(z[k] @ z[j]), l) for j, l in zip(taught, label)), reverse=True)[: quality.NEIGHBOURS]
+        w = [max(c, 0) ** quality.POWER for c, _ in near]
+        want = (sum(a * l for a, (_, l) in zip(w, near)) + 0.02 * prior) / (sum(w) + 0.02)
+        assert abs(got[i] - want) < 0.05, (i, got[i], want)
