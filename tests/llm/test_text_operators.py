@@ -16,14 +16,39 @@ def test_contamination(spark, documents):
     rows = [*enumerate(texts), (0, base)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = leaks(rows, items)
-    for block in (500_000, 3):
-        got = decontam.contamination(documents([(i, t, "s") for i, t in rows]), bench, block_windows=block).collect()
+    for most in (decontam.BROADCAST_MARKS, 3):
+        got = decontam.contamination(documents([(i, t, "s") for i, t in rows]), bench, broadcast_marks=most).collect()
         assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got), key=str) == want
     none = decontam.contamination(documents([(1, "a b", "s")]), bench.limit(0)).collect()
     assert [(r.n_words, r.n_hit, r.n_items) for r in none] == [(2, 0, 0)]
     assert decontam.contamination(documents([]), bench).count() == 0
 
 
+def test_contamination_of_random_spans(spark, documents):
+    """Few words, so that least hashes tie, repeat and shift; shared spans of 8 to 14 words and more."""
+    rng = np.random.default_rng(11)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 6 if i % 2 else 400, rng.integers(9, 60)))) for i in range(12)]
+    rows = []
+    for i in range(150):
+        words = [f"v{x}" for x in rng.integers(0, 6 if i % 3 else 400, rng.integers(0, 60))]
+        taken = items[rng.integers(len(items))][1].split()
+        at, n = rng.integers(0, len(taken)), rng.integers(8, 15)
+        put = rng.integers(0, len(words) + 1)
+        rows.append((i, " ".join(words[:put] + taken[at : at + n] + words[put:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = leaks(rows, items)
+    assert sum(h > 0 for _, _, h, _ in want) > 40
+    for most in (decontam.BROADCAST_MARKS, 3):
+        got = decontam.contamination(documents([(i, t, "s") for i, t in rows]), bench, broadcast_marks=most).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got), key=str) == want
+
+
+def test_fingerprints_are_thinned(spark):
+    words = spark.createDataFrame([([f"u{i}" for i in range(5000)],)], "words array<string>")
+    n = decontam._fingerprinted(words, [decontam.SPAN]).selectExpr("size(marks)").first()[0]
+    assert 0.24 < n / 5000 < 0.34  # two of seven places: windows hold six grams
+
+
 def _near_copies():
     rng = np.random.default_rng(5)
     rows, i = [], 0
