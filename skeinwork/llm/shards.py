@@ -5,53 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless, table, text_or_empty
+from .common import gapless, quoted, table, text_or_empty
 
-#: region -> rack -> shard numbers. A node weighs as much as the shards below it.
-Tree = dict[str, dict[str, list[int]]]
+#: region -> rack -> shard number -> weight. A node weighs as much as the shards below it.
+Tree = dict[str, dict[str, dict[int, float]]]
 
 
 def balanced_tree(shards: int) -> Tree:
-    """Shards in racks of two and regions of two racks; numbering is stable as shards are added."""
+    """Shards of weight one in racks of two and regions of two racks; the tree of n + 1 shards is that of n
+    with one more leaf."""
     tree: Tree = {}
     for s in range(shards):
-        tree.setdefault(f"r{s // 4}", {}).setdefault(f"r{s // 4}k{s // 2 % 2}", []).append(s)
+        tree.setdefault(f"r{s // 4}", {}).setdefault(f"r{s // 4}k{s // 2 % 2}", {})[s] = 1.0
     return tree
 
 
-def grown_tree(tree: Tree, shard: int) -> Tree:
-    """`tree` with one more shard in a region of its own. No other node's weight changes, so rows
-    move only into the new subtree; inside an old region a new shard would change the weights of
-    that region and rack, and rows would also move between old shards."""
-    return tree | {f"r+{shard}": {f"r+{shard}k0": [shard]}}
+def _draw(key: Column, shard: int, weight: float) -> Column:
+    """An exponential draw of rate `weight`, fixed by key and shard."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(f"s{shard}"), key).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return F.struct((-F.ln(u) / F.lit(float(weight))).alias("draw"), F.lit(shard).alias("shard"))
 
 
-def _draw(key: Column, node: str, weight: float) -> Column:
-    """An exponential draw of rate `weight`, fixed by key and node; the least draw wins, so a node
-    wins with probability weight / sum of weights, and only its own draw depends on its weight."""
-    u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(node), key).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return -F.ln(u) / F.lit(float(weight))
-
-
-def _choice(key: Column, nodes: dict[str, float]) -> Column:
-    names = list(nodes)
-    if len(names) == 1:
-        return F.lit(0)
-    return F.array_min(F.array(*[F.struct(_draw(key, n, nodes[n]).alias("d"), F.lit(i).alias("i")) for i, n in enumerate(names)]))["i"]
+def _least(draws: list[Column]) -> Column:
+    return draws[0] if len(draws) == 1 else F.array_min(F.array(*draws))
 
 
 def tree_shard(key: Column, tree: Tree) -> Column:
-    """The shard that `key` (a string column) reaches: weighted draws among regions, then among the
-    racks of the region, then among the shards of the rack."""
-    weight = {r: sum(map(len, racks.values())) for r, racks in tree.items()}
-    region, out = _choice(key, weight), None
-    for i, (r, racks) in enumerate(tree.items()):
-        rack, inner = _choice(key, {k: len(s) for k, s in racks.items()}), None
-        for j, (k, shards) in enumerate(racks.items()):
-            leaf = F.element_at(F.array(*map(F.lit, shards)), _choice(key, {f"{k}s{s}": 1 for s in shards}) + 1)
-            inner = F.when(rack == j, leaf) if inner is None else inner.when(rack == j, leaf)
-        out = F.when(region == i, inner) if out is None else out.when(region == i, inner)
-    return out
+    """The shard that `key` (a string column) reaches: the least draw among regions, then among the racks
+    of that region, then among the shards of that rack.
+
+    A node's draw is the least of the draws below it, which is an exponential draw of the node's weight; so
+    each level is chosen by weight, and as only leaves draw by themselves, a changed or added weight changes
+    the draws of its own branch alone: keys move only into or out of the shards whose weights change.
+    """
+    return _least([_least([_least([_draw(key, s, w) for s, w in shards.items()]) for shards in racks.values()]) for racks in tree.values()])["shard"]
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,15 +49,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     shard and get consecutive slots in the order of (size, checksum). A null id is a key like any
     other. An empty table gives an empty result; further columns are ignored.
     """
-    tree = balanced_tree(shards)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    key = F.coalesce(quoted(id_col).cast("string"), F.lit("null"))
     placed = docs.select(
-        F.col(id_col).alias("doc_id"),
+        quoted(id_col).alias("doc_id"),
         (F.octet_length(text_or_empty(text_col)) + 1).cast("long").alias("size"),
         F.crc32(text_or_empty(text_col).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        tree_shard(key, tree).cast("int").alias("shard"),
-        tree_shard(key, grown_tree(tree, shards)).cast("int").alias("grown_shard"),
+        tree_shard(key, balanced_tree(shards)).cast("int").alias("shard"),
+        tree_shard(key, balanced_tree(shards + 1)).cast("int").alias("grown_shard"),
     )
     out = gapless(placed, ["shard"], ["doc_id", "size", "text_crc32"], "slot", "shards")
     return out.select(F.col("doc_id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard")

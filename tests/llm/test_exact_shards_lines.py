@@ -28,24 +28,20 @@ def test_exact_without_broadcast_and_empty(documents):
 
 
 def _shard(key, tree):
-    def pick(nodes):
-        def draw(n):
-            u = (int(hashlib.md5(f"{n}/{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-            return -math.log(u) / nodes[n]
+    def draw(shard, weight):
+        u = (int(hashlib.md5(f"s{shard}/{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return -math.log(u) / weight
 
-        return min(nodes, key=draw)
-
-    region = pick({r: sum(map(len, k.values())) for r, k in tree.items()})
-    rack = pick({k: len(s) for k, s in tree[region].items()})
-    leaf = pick({f"{rack}s{s}": 1 for s in tree[region][rack]})
-    return int(leaf[len(rack) + 1 :])
+    rack_draw = lambda shards: min(draw(s, w) for s, w in shards.items())
+    region = min(tree, key=lambda r: min(map(rack_draw, tree[r].values())))
+    rack = min(tree[region], key=lambda k: rack_draw(tree[region][k]))
+    return min(tree[region][rack], key=lambda s: draw(s, tree[region][rack][s]))
 
 
 def test_shards(documents):
     rows = [(i, "t" * (i % 7), "s") for i in range(400)] + [(3, None, "s"), (None, "x", "s")]
     got = shards.shard_documents(documents(rows)).collect()
-    tree = shards.balanced_tree(8)
-    grown = shards.grown_tree(tree, 8)
+    tree, grown = shards.balanced_tree(8), shards.balanced_tree(9)
     assert len(got) == len(rows)
     for r in got:
         key = "null" if r.doc_id is None else str(r.doc_id)
@@ -60,10 +56,32 @@ def test_shards(documents):
     assert shards.shard_documents(documents([])).count() == 0
 
 
+def test_growth_moves_rows_into_the_new_shard_alone(documents):
+    docs = documents([(i, "t", "s") for i in range(300)])
+    before = None
+    for n in range(1, 17):
+        got = {r.doc_id: r for r in shards.shard_documents(docs, n).select("doc_id", "shard", "grown_shard").collect()}
+        assert all(r.grown_shard in (r.shard, n) and r.shard < n for r in got.values())
+        assert before is None or before == {i: r.shard for i, r in got.items()}
+        before = {i: r.grown_shard for i, r in got.items()}
+
+
 def test_weights_decide_shares():
-    tree = {"a": {"a0": [0, 1, 2]}, "b": {"b0": [3]}}
-    hits = sum(_shard(str(i), tree) == 3 for i in range(4000))
-    assert abs(hits / 4000 - 0.25) < 0.03
+    tree = {"a": {"a0": {0: 1.0, 1: 1.0}, "a1": {2: 1.0}}, "b": {"b0": {3: 1.0}}}
+    reached = [_shard(str(i), tree) for i in range(4000)]
+    assert all(abs(reached.count(s) / 4000 - 0.25) < 0.03 for s in range(4))
+    tree["b"]["b0"][3] = 3.0
+    moved = [_shard(str(i), tree) for i in range(4000)]
+    assert abs(moved.count(3) / 4000 - 0.5) < 0.03
+    assert all(a == b or b == 3 for a, b in zip(reached, moved))
+
+
+def test_lines_without_broadcast(documents, monkeypatch):
+    rows = [(i, f"head {i}\n  menu \nbody", "s" if i % 3 else "t") for i in range(60)]
+    want = sorted(map(str, lines.drop_boilerplate(documents(rows), ratio=0.5).collect()))
+    monkeypatch.setattr(lines, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(lines, "BROADCAST_DROPS", 0)
+    assert sorted(map(str, lines.drop_boilerplate(documents(rows), ratio=0.5).collect())) == want
 
 
 def test_lines(documents):
@@ -74,4 +92,6 @@ def test_lines(documents):
     assert got[11].text is None and got[11].n_lines == 0
     assert (got[12].text, got[13].text) == ("", "menu\nonly")
     assert lines.drop_boilerplate(documents(rows), ratio=0.5).count() == len(rows)
+    odd = lines.drop_boilerplate(documents(rows).selectExpr("*", "1 AS `a.b`", "named_struct('x.y', 1) AS nested"), ratio=0.5)
+    assert odd.count() == len(rows) and {"a.b", "nested"} <= set(odd.columns)
     assert lines.drop_boilerplate(documents([])).count() == 0
