@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,8 @@ def _scan(batches: Iterable) -> Iterable:
 class Ledger:
     """Parquet folder of (blob, rules_version, found), one row for each scanned pair.
 
-    Each scan appends its own folder at once; a folder that a broken run left without its success
-    mark is not read, so its blobs are scanned again.
+    Each scan appends a folder of its own at once, so that writers don't meet; a folder that a broken run
+    left without its success mark is not read, so its blobs are scanned again.
     """
 
     schema = f"blob binary, rules_version int, found {FOUND}"
@@ -79,7 +80,7 @@ class Ledger:
         return self.spark.read.schema(self.schema).parquet(*runs)
 
     def append(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/run-{len(self.runs()):06d}")
+        rows.write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
 
 
 def scan_versions(versions: DataFrame, ledger: Ledger, path_col: str = "path", text_col: str = "text", rules_version: int = RULES_VERSION) -> DataFrame:
@@ -107,8 +108,11 @@ def scan_versions(versions: DataFrame, ledger: Ledger, path_col: str = "path", t
 
 
 def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From an empty ledger, so that every blob is unseen."""
-    found = scan_versions(table(spark, sf_dir, "documents"), Ledger(spark, shared_path(spark, "ledger")), "doc_id")
+    """In two instalments, documents of even and of odd ids, so that the second scans only the blobs that
+    the first one lacked."""
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), Ledger(spark, shared_path(spark, "ledger"))
+    even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    found = scan_versions(docs.where(even), ledger, "doc_id").unionByName(scan_versions(docs.where(~even), ledger, "doc_id"))
 
     def n(kind: str):
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
