@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import quoted, spread, stored, table
 from .tokens import lean, slices, text_bytes
 
 ROWS, MISS = 4, 1e-5
@@ -189,15 +189,16 @@ def _block_links(part: int, whole: int):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that the edges (a, b) reach from each node they name.
 
     Every round takes the least label among a node's neighbours, then that label's own label, so
-    labels travel twice as far each time; labels are written to the shared folder each round.
+    labels travel twice as far each time, until none changes; labels are written to the shared folder each
+    round.
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -205,7 +206,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels
-    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
     ignored.
     """
     bands = bands_for(part / whole)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("binary").alias("text"))
     sketch = stored(rows.mapInArrow(lean(_sketcher(width, bands)), "id long, n long, node binary, keys array<long>"), "sketch")
     nodes = stored(sketch.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("keys").alias("keys")), "nodes")
     placed = nodes.select("node", "id", F.explode("keys").alias("key"))
@@ -262,4 +262,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, part: int = 80, whole: int
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), 3, 85, 100)
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 3, 85, 100)
