@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, stored, table
+from .common import positional, quoted, small_side, stored, table
 
-RATIO, MIN_PAGES = 0.1, 5
+RATIO, MIN_PAGES = 0.01, 5
 #: Hosts (or drop-list rows) up to this many are broadcast; beyond it the join shuffles.
 BROADCAST_HOSTS, BROADCAST_DROPS = 500_000, 200_000
 
@@ -24,10 +24,10 @@ def boilerplate_lines(pages: DataFrame, host: str, text: str, ratio: float = RAT
     combined before the shuffle, so a hot host or line sends one row a task. A host has at most
     (lines a page) / ratio such lines.
     """
-    lines = F.array_distinct(F.transform(F.split(F.col(text), "\n", -1), F.trim))
-    each = pages.select(F.col(host).alias("host"), F.explode(lines).alias("line")).where("line <> ''").select("host", _line_key(F.col("line")).alias("line_key"))
+    lines = F.array_distinct(F.transform(F.split(quoted(text), "\n", -1), F.trim))
+    each = pages.select(quoted(host).alias("host"), F.explode(lines).alias("line")).where("line <> ''").select("host", _line_key(F.col("line")).alias("line_key"))
     found = each.groupBy("host", "line_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    totals = stored(pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages")), "line-hosts")
+    totals = stored(pages.groupBy(quoted(host).alias("host")).agg(F.count("*").alias("pages")), "line-hosts")
     return found.join(small_side(totals, BROADCAST_HOSTS), found["host"].eqNullSafe(totals["host"])).where(F.col("n") > F.col("pages") * ratio).select(found["host"], "line_key")
 
 
@@ -41,17 +41,18 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     """
     drops = stored(boilerplate_lines(pages, host, text, ratio, min_pages), "line-drops")
     by_host = drops.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_key").alias("_drop"))
-    if drops.count() <= BROADCAST_DROPS:
-        by_host = F.broadcast(by_host)
-    rows = pages.select(F.struct(*pages.columns).alias("row"), F.col(host).alias("_of"), F.split(F.col(text), "\n", -1).alias("_lines"))
-    joined = rows.join(by_host, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    # stored, so that where it isn't broadcast the join deals both sides itself and can split a hot host
+    by_host = F.broadcast(by_host) if drops.count() <= BROADCAST_DROPS else stored(by_host, "line-lists")
+    names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    rows = positional(pages, names).withColumn("_lines", F.split(F.col(at[text]), "\n", -1))
+    joined = rows.join(by_host, F.col(at[host]).eqNullSafe(F.col("_host")), "left")
     kept = F.when(F.col("_drop").isNotNull(), F.filter("_lines", lambda x: ~F.array_contains(F.col("_drop"), _line_key(x))))
-    joined = joined.select("row", "_lines", kept.alias("_kept"))
+    joined = joined.select(*at.values(), "_lines", kept.alias("_kept"))
     n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
     n_dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
-    new = F.when(n_dropped == 0, F.col("row")[text]).otherwise(F.array_join("_kept", "\n"))
-    out = [new.alias(c) if c == text else F.col("row")[c].alias(c) for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*out, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    new = F.when(n_dropped == 0, F.col(at[text])).otherwise(F.array_join("_kept", "\n"))
+    return joined.select(*[(new if c == text else F.col(at[c])).alias(c) for c in names], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
