@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import quoted, spread, table
 from .tokens import encoder, lean, slices, text_bytes, tokenizer_path
 
 TIERS = (256, 512, 1024, 2048)
@@ -144,8 +144,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
                     yield from flush(False)
         yield from flush(True)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(lean(run), PIECES)
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("binary").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 1, with_ids=False).drop("ids")
+    return pack_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path(), 1, with_ids=False).drop("ids")
