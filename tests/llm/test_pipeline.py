@@ -17,6 +17,51 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in leaks.select("doc_id").collect()}
 
 
+LONG = " ".join(f"word{i}" for i in range(30))
+
+
+def _edge_rows():
+    """Nulls in every column, empty texts, a very long one, repeated ids and rows."""
+    item = " ".join(f"leak{i}" for i in range(20))
+    return [
+        (None, f"x {item} y"), (2, f"x {item} y"), (2, "a clean text of its own with some words"), (3, None), (3, None), (4, ""), (None, None), (5, LONG), (5, LONG), (5, LONG + " and more"),
+        (None, LONG), (6, "w " * 60_000 + "end"), (7, "menu\nbody"), (8, "solo"),
+    ], item
+
+
+def _tables(spark, path, rows, item, labels):
+    d = f"file://{path}"
+    docs = spark.createDataFrame([(i, t, None, "s" if t else None, None if t is None else len(t), "k", "n") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, _row string")
+    spark.createDataFrame([(1, item), (2, None), (None, "")] if item else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return docs, d
+
+
+def test_stages_on_edge_cases(spark, tmp_path):
+    rows, item = _edge_rows()
+    docs, d = _tables(spark, tmp_path, rows, item, [(2, 1, 0), (3, None, None), (None, 1, 1)])
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, d)
+        assert got.columns == corpus_pipeline.COLUMNS, name
+        out[name] = texts(got)
+    assert out["toxicity"] == sorted(rows, key=str) and len(out["line_dedup"]) == len(rows)
+    assert out["decontamination"] == sorted((r for r in rows if not (r[1] and "leak" in r[1])), key=str)
+    one = [r for r in out["near_dedup"] if r[1] and r[1].startswith(LONG)]
+    assert len(one) == 1 and one[0][0] == 5
+    assert [r for r in out["near_dedup"] if not r[1]] == sorted((r for r in rows if not r[1]), key=str)
+    assert sum(bool(r[1]) and "leak" in r[1] for r in out["near_dedup"]) == 1
+    packed = corpus_pipeline.pack(spark, docs, d).collect()
+    assert sum(r.start == 0 for r in packed) == len(rows)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs, d = _tables(spark, tmp_path, [], "", [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, d).count() == 0
+
+
 def test_run_against_brute_force(spark):
     import duckdb
     import numpy as np

@@ -106,6 +106,18 @@ def test_secrets(spark, documents):
     assert secrets.scan_versions(documents([]), ledger, "doc_id").count() == 0
 
 
+def test_ledger_outlives_a_broken_run(spark, documents):
+    ledger = secrets.Ledger(spark, shared_path(spark, "t-ledger"))
+    docs = documents([(1, "password = abcdefghijkl", "s")])
+    secrets.scan_versions(docs, ledger, "doc_id")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger.runs()[0] + "/_SUCCESS")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+    assert ledger.rows().count() == 0
+    for _ in range(2):
+        assert [len(r.found) for r in secrets.scan_versions(docs, ledger, "doc_id").collect()] == [1]
+    assert ledger.rows().count() == 1
+
+
 def _corpus():
     rng = np.random.default_rng(1)
     rows, labels = [], []

@@ -22,6 +22,19 @@ def test_encoder_equals_library():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [_ids(t) for t in TEXTS]
 
 
+def test_encoder_refuses_other_tokenizers():
+    with pytest.raises(ValueError):
+        ChunkEncoder(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_encoder_equals_library_on_a_whole_table():
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    got = ChunkEncoder(tokenizer_path()).encode([(t or "").encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [_ids(t) for t in texts]
+
+
 def test_encoder_forgets_without_harm(monkeypatch):
     import skeinwork.llm.tokens as T
 
