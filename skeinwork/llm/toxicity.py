@@ -89,8 +89,9 @@ def hot_words(rows: DataFrame) -> np.ndarray:
 
 
 def _counter(hot):
-    """Per task: (word, 0, null, documents by class, pairs that it begins by class) and, for each left
-    neighbour of a word, (word, salt, neighbour, documents by class, 0, 0); words by their keys.
+    """Per task: (word, salt, null, documents by class, pairs that it begins by class) and, for each left
+    neighbour of a word, (word, salt, neighbour, documents by class, 0, 0); words by their keys. Salts are 0
+    but for hot words, whose neighbours have 1 to SALTS.
 
     A word or pair counts once a document: what is rare but repeated in one text says little of others.
     """
@@ -107,10 +108,10 @@ def _counter(hot):
         r = np.zeros((2, len(word)), np.int64)
         r[:, np.searchsorted(word, begun)] = r0, r1
         none = pa.nulls(len(word), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.zeros(len(word), np.int32)), none, *map(pa.array, (n0, n1, *r))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.isin(word, hot.value).astype(np.int32)), none, *map(pa.array, (n0, n1, *r))], names)
         first, n0, n1 = _by_class(pair_keys(left, right), z)
         left, right = left[first], right[first]
-        salt = np.where(np.isin(right, hot.value), (left % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
+        salt = np.where(np.isin(right, hot.value), 1 + (left % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
         nothing = pa.array(np.zeros(len(first), np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(right.view(np.int64)), pa.array(salt), pa.array(left.view(np.int64)), pa.array(n0), pa.array(n1), nothing, nothing], names)
 
@@ -135,9 +136,10 @@ def _counter(hot):
 
 
 def gather(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(word, n0, n1, r0, r1, neighbours, told): ordinary and toxic documents with a word, pairs that it
+    """(word, salt, n0, n1, r0, r1, neighbours, told): ordinary and toxic documents with a word, pairs that it
     begins in them, its distinct left neighbours in both classes together, and those (left, n0, n1) that
-    over PAIR_DISCOUNT documents of a class have. Words and neighbours are 64-bit keys.
+    over PAIR_DISCOUNT documents of a class have. Words and neighbours are 64-bit keys; one row a word, of
+    hot words one a salt.
 
     Words are dealt to tasks, and the neighbours of `hot` words to SALTS rows each, so that no row holds
     more than a share of them.
@@ -171,7 +173,8 @@ class Model:
 
     def __init__(self, counts: DataFrame, bits: int) -> None:
         sums = [F.sum(c).alias(c) for c in ("n0", "n1", "r0", "r1", "neighbours")]
-        words = stored(counts.groupBy("word").agg(*sums), "toxicity-merged")
+        cold = counts.where("salt = 0").select("word", "n0", "n1", "r0", "r1", "neighbours")
+        words = cold.unionByName(stored(counts.where("salt > 0").groupBy("word").agg(*sums), "toxicity-hot"))
         pairs = counts.select("word", F.explode("told").alias("t")).select("t.left", "word", F.col("t.n0").alias("p0"), F.col("t.n1").alias("p1"))
         told = F.greatest("n0", "n1") > DISCOUNT
         cut = [F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))) for c in ("n0", "n1")]
@@ -186,12 +189,13 @@ class Model:
             return F.sum(F.greatest(F.col(f"p{c}") - PAIR_DISCOUNT, F.lit(0.0))).alias(f"k{c}")
 
         pairs = stored(pairs, "toxicity-pairs")
-        lefts = pairs.groupBy(F.col("left").alias("word")).agg(rest(0), rest(1)).join(words.select("word", "r0", "r1"), "word")
+        known_words = stored(words.where(told), "toxicity-told")  # those of told pairs among them
+        lefts = pairs.groupBy(F.col("left").alias("word")).agg(rest(0), rest(1)).join(known_words.select("word", "r0", "r1"), "word")
         lefts = stored(lefts.select("word", *[F.when(F.col(f"r{c}") > 0, 1 - F.col(f"k{c}") / F.col(f"r{c}")).otherwise(1.0).alias(f"g{c}") for c in (0, 1)], "r0", "r1"), "toxicity-lefts")
-        told_words = words.where(told).select("word", "n0", "n1", "neighbours")
+        told_words = known_words.select("word", "n0", "n1", "neighbours")
         told_words = told_words.join(lefts.select("word", "g0", "g1"), "word", "left").fillna(1.0, ["g0", "g1"])
         history = lefts.withColumnRenamed("word", "left")
-        told_pairs = pairs.join(history, "left").join(words.select("word", "n0", "n1", "neighbours"), "word")
+        told_pairs = pairs.join(history, "left").join(known_words.select("word", "n0", "n1", "neighbours"), "word")
         entries = known + pairs.count()
         n_blocks = max(-(-entries // BLOCK), 1)
 
