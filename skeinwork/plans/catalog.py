@@ -245,13 +245,13 @@ def histogram100(spark, d):
     return A.histogram(table(spark, d, "events"), "value", 100)
 
 
-def _bins_sql(bins, value: str, x: str, source: str) -> str:
+def _bins_sql(bins, value: str, x: str, source: str, digits: int = 6) -> str:
     edges = "[" + ", ".join(f"{b[0]!r}::DOUBLE" for b in bins) + "]"
     rows = ", ".join(f"({i}, {float(b[2])!r}::DOUBLE)" for i, b in enumerate(bins))
     return (
         f"WITH t(bin, centre) AS (VALUES {rows}), x AS (SELECT ({x})::DOUBLE AS x, ({value})::DOUBLE AS v FROM {source}), "
         f"s AS (SELECT (len(list_filter({edges}, lambda e: e <= x)) - 1)::INT AS bin, count(*) AS n, avg(v) AS mean FROM x WHERE x >= {bins[0][0]!r} AND x <= {bins[-1][1]!r} GROUP BY 1) "
-        "SELECT t.bin::INT AS bin, round(centre, 6) AS centre, coalesce(n, 0) AS n, round(mean, 6) AS mean, round((SELECT avg(v) FROM x), 6) AS overall FROM t LEFT JOIN s USING (bin)"
+        f"SELECT t.bin::INT AS bin, round(centre, 6) AS centre, coalesce(n, 0) AS n, round(mean, {digits}) AS mean, round((SELECT avg(v) FROM x), {digits}) AS overall FROM t LEFT JOIN s USING (bin)"
     )
 
 
@@ -264,10 +264,10 @@ def binned_proportion(spark, d):
     return A.binned(table(spark, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R", LINEAR).select("bin", *r6("centre"), "n", *r6("mean", "overall"))
 
 
-@query("binned_mean_log", _bins_sql(LOG, "l_discount * 7", "ln(l_quantity + 0.5)", "lineitem"))
+@query("binned_mean_log", _bins_sql(LOG, "l_extendedprice", "ln(l_quantity + 0.5)", "lineitem", 4))
 def binned_mean_log(spark, d):
-    x = table(spark, d, "lineitem").select("l_discount", C.log_half(F.col("l_quantity")).alias("x"))
-    return A.binned(x, "x", F.col("l_discount") * 7, LOG).select("bin", *r6("centre"), "n", *r6("mean", "overall"))
+    x = table(spark, d, "lineitem").select("l_extendedprice", C.log_half(F.col("l_quantity")).alias("x"))
+    return A.binned(x, "x", F.col("l_extendedprice"), LOG).select("bin", *r6("centre"), "n", *[F.round(c, 4).alias(c) for c in ("mean", "overall")])
 
 
 @query("binned_mean_linear", _bins_sql(LEFT_EDGES, "l_tax", "l_quantity", "lineitem"))
@@ -291,7 +291,7 @@ def confusion(spark, d):
     return A.confusion(x, F.col("quality") == 1, F.col("n_chars") > 1000).select("truth", "predicted", "n", *r6("share"))
 
 
-@query("active_features", "SELECT unnest(range(64))::INT AS feature, true AS active")
+@query("active_features", "SELECT feature::INT AS feature, bool_or(embedding[feature + 1] <> 0) AS active FROM embeddings, range(64) r(feature) GROUP BY 1")
 def active_features(spark, d):
     return A.active_features(points(spark, d), "vec").select(F.col("feature").cast("int").alias("feature"), "active")
 
@@ -442,7 +442,7 @@ def cosine_distance(spark, d):
     return N.pairwise(points(spark, d), "label", "cosine").select("label", "i", "j", *r6("d"))
 
 
-CHAIN = """WITH RECURSIVE p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings WHERE label < 3),
+CHAIN = """WITH RECURSIVE p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings),
 e AS (SELECT a.label, a.id AS i, b.id AS j, list_distance(a.vec, b.vec) AS d FROM p a JOIN p b ON a.label = b.label AND a.id <> b.id),
 c0 AS (SELECT label, i, j, d AS c FROM e),
 """ + ",\n".join(f"c{k + 1} AS (SELECT label, i, j, min(c) AS c FROM (SELECT * FROM c{k} UNION ALL SELECT a.label, a.i, b.j, greatest(a.c, b.c) FROM c{k} a JOIN c{k} b ON a.label = b.label AND a.j = b.i WHERE a.i <> b.j) GROUP BY ALL)" for k in range(6)) + " "
@@ -450,22 +450,11 @@ c0 AS (SELECT label, i, j, d AS c FROM e),
 
 @query("mst_by_label", CHAIN + "SELECT e.label, e.i AS fr, e.j AS \"to\", round(e.d, 6) AS d FROM e JOIN c6 USING (label, i, j) WHERE e.i < e.j AND e.d = c6.c")
 def mst_by_label(spark, d):
-    return G.group_trees(points(spark, d).where("label < 3"), "label").select("label", "fr", "to", *r6("d"))
+    return G.group_trees(points(spark, d), "label").select("label", "fr", "to", *r6("d"))
 
 
 @query("chain_distance", CHAIN + "SELECT label, i, j, round(c, 6) AS c FROM c6 WHERE i < j")
 def chain_distance(spark, d):
-    return G.chain_distances(G.group_trees(points(spark, d).where("label < 3"), "label"), "label").select("label", "i", "j", *r6("c"))
-
-
-#: The three queries named ..._all_labels take every label; those of the shorter names are held to what their SQL covers.
-@query("mst_all_labels")
-def mst_all_labels(spark, d):
-    return G.group_trees(points(spark, d), "label").select("label", "fr", "to", *r6("d"))
-
-
-@query("chain_distance_all_labels")
-def chain_distance_all_labels(spark, d):
     return G.chain_distances(G.group_trees(points(spark, d), "label"), "label").select("label", "i", "j", *r6("c"))
 
 
@@ -533,12 +522,6 @@ def multiobjective_rank(spark, d):
 
 @query("dendrogram_root", CHAIN + ", s AS (SELECT label, sum(c) AS internal, max(c) AS scale FROM c6 WHERE i < j GROUP BY label), n AS (SELECT label, count(*) AS n FROM p GROUP BY label), m AS (SELECT e.label, avg(e.d) AS mean FROM e JOIN c6 USING (label, i, j) WHERE e.i < e.j AND e.d = c6.c GROUP BY e.label) SELECT label, n, round(scale, 6) AS scale, round(mean, 6) AS mean, round(internal, 4) AS internal, round(mean * n * (n - 1) / 2 / internal, 6) AS quality, round(2 * internal / (n * n), 6) AS isolation_mean FROM s JOIN n USING (label) JOIN m USING (label)")
 def dendrogram_root(spark, d):
-    t = K.multiscale(points(spark, d).where("label < 3"), "label").where("parent = -1")
-    return t.select("label", "n", *r6("scale", "mean"), F.round("internal", 4).alias("internal"), *r6("quality", "isolation_mean"))
-
-
-@query("dendrogram_root_all_labels")
-def dendrogram_root_all_labels(spark, d):
     t = K.multiscale(points(spark, d), "label").where("parent = -1")
     return t.select("label", "n", *r6("scale", "mean"), F.round("internal", 4).alias("internal"), *r6("quality", "isolation_mean"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.functions.columns import first_group, int_or_sentinel, limited_count, path_id
+from skeinwork.functions.columns import int_or_sentinel, limited_count, path_id
 
 #: Fields of a raw profile record, in order. Fixed values.
 PROFILE_FIELDS = [
@@ -32,33 +32,55 @@ def unpivot_ratings(df: DataFrame, ids: list[str], scales: list[str]) -> DataFra
     return df.unpivot(ids, scales, "scale", "value")
 
 
+def with_ratings(items: DataFrame, ratings: DataFrame, item_id: str, rated_id: str, how: str = "inner") -> DataFrame:
+    """`items` with the columns of a summary of ratings by item (one row an item), which take a suffix
+    where names clash. `how` is inner (rated items alone) or left (all)."""
+    clash = {c: f"{c}_rating" for c in ratings.columns if c in items.columns and c != rated_id}
+    right = ratings.withColumnsRenamed(clash).withColumnRenamed(rated_id, "_rated")
+    return items.join(right, items[item_id] == right["_rated"], how).drop("_rated")
+
+
 def repair_records(lines: DataFrame, fields: list[str] = PROFILE_FIELDS, order: str = "pos", file: str = "file") -> DataFrame:
     """Records of tab-separated lines (file, pos, line) of which some were broken by newlines in a field.
 
-    A line of a full set of fields stands for itself. Other lines continue the record before: their
-    first piece belongs to its last field so far. A record is complete at its full set of fields; one
-    of too many is dropped. Files are repaired apart from each other, by running sums of the fields
-    each line adds, with no driver loop.
+    Lines are joined until a full set of fields is there: the first piece of a line that continues a
+    record belongs to the last field so far. A record that gets too many fields is dropped, and the next
+    line begins anew; so is one that its file ends in. Each file is read in order by one task, which
+    holds the open record alone; files are repaired apart from each other.
     """
-    from pyspark.sql import Window
-
     n = len(fields)
-    w = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tabs = F.size(F.split("line", "\t", -1)) - 1
-    # tabs since the start of the file count records: n - 1 tabs each
-    counted = lines.withColumn("_tabs", tabs).withColumn("_sum", F.sum("_tabs").over(w))
-    before = F.coalesce(F.max("_sum").over(Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = (F.col("_tabs") > 0) & (F.floor(before / (n - 1)) * (n - 1) == before)
-    marked = counted.withColumn("_start", start.cast("int")).withColumn("_record", F.sum("_start").over(w))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("line").alias("l")))), lambda s: s["l"]), "\n")
-    joined = marked.where("_record > 0").groupBy(file, "_record").agg(text.alias("t")).withColumn("f", F.split("t", "\t", -1)).where(F.size("f") == n)
-    return joined.select(*[F.get("f", i).alias(name) for i, name in enumerate(fields)])
+
+    def run(batches):
+        import pandas as pd
+
+        at, open_ = None, []
+        for pdf in batches:
+            done = []
+            for name, line in zip(pdf["f"], pdf["l"]):
+                if name != at:
+                    at, open_ = name, []
+                pieces = line.split("\t")
+                if open_:
+                    open_[-1] += "\n" + pieces[0]
+                    open_ += pieces[1:]
+                else:
+                    open_ = pieces
+                if len(open_) == n:
+                    done.append(open_)
+                if len(open_) >= n:
+                    open_ = []
+            yield pd.DataFrame(done, columns=fields, dtype=object)
+
+    rows = lines.select(F.col(file).alias("f"), F.col(order).alias("o"), F.col("line").alias("l")).where("l IS NOT NULL")
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in fields])
+    return rows.repartition("f").sortWithinPartitions("f", "o").select("f", "l").mapInPandas(run, schema)
 
 
 def read_broken_tsv(spark: SparkSession, path: str, fields: list[str] = PROFILE_FIELDS) -> DataFrame:
-    """Repaired records of text files; lines are numbered as they stand in each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    return repair_records(whole.where("line <> ''"), fields)
+    """Repaired records of text files, whose lines are ordered by their block of the file and their place in it."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("pos"), F.col("value").alias("line"))
+    return repair_records(lines.where("line <> ''"), fields)
 
 
 def clean_profiles(raw: DataFrame) -> DataFrame:
@@ -70,10 +92,6 @@ def clean_profiles(raw: DataFrame) -> DataFrame:
     )
 
 
-def extracted(x, pattern: str):
-    return first_group(x, pattern)
-
-
 def write_once(df: DataFrame, path: str) -> None:
     """CSV with a header; refuses a path that exists."""
     df.write.mode("errorifexists").csv(path, header=True)

@@ -54,6 +54,22 @@ def test_repair(spark):
     assert sorted(map(tuple, got)) == [("1", "2", "3"), ("a", "b", "c"), ("d", "e1\ne2", "f"), ("g", "h", "i")]
 
 
+def test_repair_goes_on_after_a_record_of_too_many_fields(spark, tmp_path):
+    rows = [("f", 0, "a\tb\tc\td"), ("f", 1, "1\t2\t3"), ("f", 2, "4\t5"), ("f", 3, "x\t6\ty"), ("f", 4, "7\t8\t9"), ("f", 5, "left\tover"), ("g", 0, "10\t11\t12")]
+    got = tables.repair_records(spark.createDataFrame(rows, "file string, pos int, line string"), ["x", "y", "z"]).collect()
+    assert sorted(map(tuple, got)) == [("1", "2", "3"), ("10", "11", "12"), ("7", "8", "9")]
+    (tmp_path / "many.tsv").write_text("".join(f"a{i}\tb\nb{i}\tc\n" for i in range(3000)))
+    got = tables.read_broken_tsv(spark, f"file://{tmp_path}/many.tsv", ["x", "y", "z"]).collect()
+    assert [tuple(r) for r in got] == [(f"a{i}", f"b\nb{i}", "c") for i in range(3000)]
+
+
+def test_ratings_of_items(spark):
+    items = spark.createDataFrame([(1, "a", 5.0), (2, "b", 6.0)], "id long, name string, mean double")
+    ratings = spark.createDataFrame([(1, 2.5), (3, 1.0)], "item long, mean double")
+    assert [tuple(r) for r in tables.with_ratings(items, ratings, "id", "item").collect()] == [(1, "a", 5.0, 2.5)]
+    assert tables.with_ratings(items, ratings, "id", "item", "left").count() == 2
+
+
 def test_csv_sources(spark, tmp_path):
     path = f"file://{tmp_path}/items"
     df = spark.createDataFrame([(1, "a,b", -1)], "id long, name string, friends long")

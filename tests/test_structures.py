@@ -142,7 +142,7 @@ def test_trees_of_all_labels(spark):
     for r in sorted(spark.read.parquet(f"{d}/embeddings.parquet").collect(), key=lambda r: r.vec_id):
         groups.setdefault(r.label, []).append(r)
     edges, links, roots = ({}, {}, {})
-    for name, out in (("mst_all_labels", edges), ("chain_distance_all_labels", links), ("dendrogram_root_all_labels", roots)):
+    for name, out in (("mst_by_label", edges), ("chain_distance", links), ("dendrogram_root", roots)):
         for r in QUERIES[name](spark, d).collect():
             out.setdefault(r.label, []).append(r)
     assert set(roots) == set(groups) and max(groups) >= 3
