@@ -31,6 +31,24 @@ def ordinal_summary(df: DataFrame, keys: list[str], rank: str, neutral: int = 4)
     )
 
 
+def rank_distribution(df: DataFrame, keys: list[str], rank: str, top: int) -> DataFrame:
+    """Per key: observations of each rank from 0 to `top` as an array, and the share of pairs that agree."""
+    counts = [F.count_if(F.col(rank) == i).alias(f"_{i}") for i in range(top + 1)]
+    c = df.groupBy(*keys).agg(*counts, F.count(rank).alias("_n"))
+    pairs = sum((F.col(f"_{i}") * (F.col(f"_{i}") - 1) / 2 for i in range(1, top + 1)), F.col("_0") * (F.col("_0") - 1) / 2)
+    share = pairs / F.nullif(F.col("_n") * (F.col("_n") - 1) / 2, F.lit(0.0))
+    return c.select(*keys, F.array(*[F.col(f"_{i}") for i in range(top + 1)]).alias("distribution"), share.alias("agreement"))
+
+
+def expression_summary(df: DataFrame, item: str, scale: str, rank: str, scales: int, neutral: int = 4, top: int = 7) -> DataFrame:
+    """Per item, over its scales: mean of 1 - the share at `neutral`, of the intensities, and of the shares
+    of pairs that agree. Sums are divided by the number of scales that there are, rated or not; a scale
+    with one rating has no agreement, and then neither has the item."""
+    one = ordinal_summary(df, [item, scale], rank, neutral).join(rank_distribution(df, [item, scale], rank, top), [item, scale])
+    agreement = F.when(F.count("agreement") == F.count("*"), F.sum("agreement") / scales)
+    return one.groupBy(item).agg((F.sum(1 - F.col("neutral")) / scales).alias("simple"), (F.sum("intensity") / scales).alias("intensity"), agreement.alias("agreement"))
+
+
 def null_rating_summary(df: DataFrame, keys: list[str], value: str, top: int = 5) -> DataFrame:
     """The same for ratings 1 to `top` with NULLs: they count in the neutral share's denominator, and a
     key with more NULLs than half has no median, mean or intensity."""

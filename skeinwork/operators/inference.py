@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from skeinwork.functions import tails
 
@@ -139,8 +140,8 @@ def mean_intervals(df: DataFrame, group: str, value: str, bound: float = 0.05) -
     return s.select(group, "n", "mean", "sd", F.when(F.col("n") > 1, t_q((F.col("n") - 1).cast("double")) * F.col("sd") / F.sqrt("n")).alias("half"))
 
 
-def jeffreys_intervals(df: DataFrame, group: str, flag: str, bound: float = 0.05) -> DataFrame:
-    """(group, n, hits, low, high) of a proportion."""
+def with_jeffreys(counts: DataFrame, bound: float = 0.05) -> DataFrame:
+    """`counts` (with columns n and hits) plus low and high of the proportion hits / n."""
     quantile = tails.beta_quantile
 
     @F.pandas_udf("low double, high double")
@@ -148,8 +149,13 @@ def jeffreys_intervals(df: DataFrame, group: str, flag: str, bound: float = 0.05
         a, b = x.to_numpy(float) + 0.5, (n - x).to_numpy(float) + 0.5
         return pd.DataFrame({"low": quantile(np.full(len(x), bound / 2), a, b), "high": quantile(np.full(len(x), 1 - bound / 2), a, b)})
 
-    s = df.groupBy(group).agg(F.count(flag).alias("n"), F.sum(F.col(flag).cast("long")).alias("hits")).withColumn("ci", ci("hits", "n"))
-    return s.select(group, "n", "hits", "ci.low", "ci.high")
+    return counts.withColumn("_ci", ci("hits", "n")).select(*counts.columns, "_ci.low", "_ci.high")
+
+
+def jeffreys_intervals(df: DataFrame, group: str, flag: str, bound: float = 0.05) -> DataFrame:
+    """(group, n, hits, low, high) of a proportion."""
+    s = df.groupBy(group).agg(F.count(flag).alias("n"), F.sum(F.col(flag).cast("long")).alias("hits"))
+    return with_jeffreys(s.select(group, "n", "hits"), bound)
 
 
 def bootstrap_interval(x: np.ndarray, statistic=np.mean, bound: float = 0.05, samples: int = 10_000, seed: int = 17) -> tuple[float, float]:
@@ -250,6 +256,62 @@ def cluster_report(df: DataFrame, group: str, value: str, least: int = 20, alpha
     return out.select(group, "n", "mean", "half", "p", side.alias("side"), (F.col("p") < shared).alias("diff"))
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """boolean, number or category, by the column's type."""
+    t = df.schema[column].dataType
+    return "boolean" if isinstance(t, BooleanType) else "number" if isinstance(t, NumericType) else "category"
+
+
+def value_intervals(df: DataFrame, group: str, column: str, bound: float = 0.05, cutoff: int = 15) -> DataFrame:
+    """(group, value, n, mean, low, high) with the interval that suits the column's type: Jeffreys's of a
+    boolean's share and of each category's share (`value` names it; of the group's rows that have a
+    category), the t interval of a number's mean, or the bootstrap's for groups of under `cutoff` numbers."""
+    kind, none = kind_of(df, column), F.lit(None).cast("string").alias("value")
+    known = df.where(F.col(column).isNotNull()).select(F.col(group).alias("_g"), F.col(column).alias("_v"))
+    if kind == "boolean":
+        out = jeffreys_intervals(known, "_g", "_v", bound)
+        return out.select(F.col("_g").alias(group), none, "n", (F.col("hits") / F.col("n")).alias("mean"), "low", "high")
+    if kind == "category":
+        values = F.broadcast(known.select(F.col("_v").cast("string").alias("value")).distinct())
+        sizes = known.groupBy("_g").agg(F.count("*").alias("n"))
+        hits = known.groupBy("_g", F.col("_v").cast("string").alias("value")).agg(F.count("*").alias("hits"))
+        cells = sizes.crossJoin(values).join(hits, ["_g", "value"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+        cells = with_jeffreys(cells, bound)
+        return cells.select(F.col("_g").alias(group), "value", "n", (F.col("hits") / F.col("n")).alias("mean"), "low", "high")
+    wide = mean_intervals(known, "_g", "_v", bound)
+    small = bootstrap_intervals(known, "_g", "_v", cutoff, bound).select(F.col("_g").alias("_s"), F.col("low").alias("_l"), F.col("high").alias("_h"))
+    out = wide.join(small, wide["_g"] == small["_s"], "left")
+    low, high = F.when(F.col("_s").isNotNull(), F.col("_l")).otherwise(F.col("mean") - F.col("half")), F.when(F.col("_s").isNotNull(), F.col("_h")).otherwise(F.col("mean") + F.col("half"))
+    return out.select(F.col("_g").alias(group), none, "n", "mean", low.alias("low"), high.alias("high"))
+
+
+def cluster_significance(df: DataFrame, group: str, columns: list[str], least: int = 20, alpha: float = 0.05) -> DataFrame:
+    """(group, column, kind, value, n, mean, low, high, all_mean, all_low, all_high, p, side, diff) of each
+    column in each group of `least` rows and more; a category has a row for each of its values.
+
+    side is small or large if the group's interval lies under or over that of all rows; diff tells whether
+    the group differs from all rows (members included) by Fisher's test of a boolean, the smoothed chi
+    square of a category or Welch's t of a number. Intervals and tests share alpha by Šidák's correction
+    among all columns and groups. Groups are told by their own ids; a null group takes no part.
+    """
+    named = df.where(F.col(group).isNotNull())
+    big = named.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(group)
+    shared = 1 - (1 - alpha) ** (1 / max(1, big.count() * len(columns)))
+    out = None
+    for column in columns:
+        kind = kind_of(df, column)
+        test = {"boolean": fisher_by_group, "category": chi2_by_group, "number": welch_by_group}[kind]
+        p = test(df, group, column).select(group, "p")
+        own = value_intervals(named.join(F.broadcast(big), group, "left_semi"), group, column, shared)
+        overall = value_intervals(df.withColumn("_all", F.lit(0)), "_all", column, shared)
+        overall = overall.select(F.col("value").alias("_value"), *[F.col(c).alias(f"all_{c}") for c in ("mean", "low", "high")])
+        rows = own.join(F.broadcast(overall), F.col("value").eqNullSafe(F.col("_value"))).join(p, group)
+        side = F.when(F.col("high") < F.col("all_low"), "small").when(F.col("low") > F.col("all_high"), "large")
+        rows = rows.select(group, F.lit(column).alias("column"), F.lit(kind).alias("kind"), "value", "n", "mean", "low", "high", "all_mean", "all_low", "all_high", "p", side.alias("side"), (F.col("p") < shared).alias("diff"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def residual_deviation(df: DataFrame, stat: str, against: str) -> DataFrame:
     """`df` plus `<stat>_<against>_deviation`, what the least-squares line leaves."""
     x, y = F.col(against).cast("double"), F.col(stat).cast("double")

@@ -19,6 +19,25 @@ def moving_average(df: DataFrame, value: str, order: str, taps: int = 11, group:
     return df.withColumn(out, F.sum(value).over(w) / taps)
 
 
+#: Weights of smoothing kernels from the row furthest ahead to the one furthest behind. Fixed values.
+WIDE_KERNEL = (0.75, 0.75, 1.0, 1.0, 1.0, 1.0, 1.0, 0.75, 0.75)
+TRAILING_KERNEL = (0.0,) * 5 + (1.0,) * 6
+
+
+def convolved(df: DataFrame, value: str, order: str, kernel: tuple[float, ...] = WIDE_KERNEL, group: str | None = None, out: str = "smooth") -> DataFrame:
+    """Weighted mean over the rows about each, the kernel centred on it; beyond the ends are zeros."""
+    w, half = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(order), len(kernel) // 2
+    at = [F.lag(value, k - half, 0.0).over(w) * (x / sum(kernel)) for k, x in enumerate(kernel) if x]
+    return df.withColumn(out, sum(at[1:], at[0]))
+
+
+def bin_means(df: DataFrame, bin_col: str, vec: str) -> DataFrame:
+    """(bin, n, mean): rows of each bin and the mean of their vectors; rows without a bin count in none."""
+    each = df.where(F.col(bin_col).isNotNull()).select(F.col(bin_col).alias("bin"), F.posexplode(vec).alias("at", "x"))
+    means = each.groupBy("bin", "at").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    return means.groupBy("bin").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("mean"))
+
+
 def equal_depth_lineup(df: DataFrame, by: str, bins: int) -> DataFrame:
     """`df` plus `bin` (from 0) of about equal depth; rows of one value stay together, in the bin of the
     first of them. Values are counted before they are ordered."""

@@ -231,6 +231,24 @@ def ordinal_rating_summary(spark, d):
     return A.ordinal_summary(part_ranks(spark, d), ["l_partkey"], "rank").select("l_partkey", "n", *r6("median", "mean", "neutral"), "intensity")
 
 
+SCALES = "WITH r AS (SELECT l_partkey, l_returnflag AS scale, (floor(l_quantity / 7.0)::INT % 8) AS rank FROM lineitem), c AS (SELECT l_partkey, scale, rank, count(*) AS k FROM r GROUP BY ALL), s AS (SELECT l_partkey, scale, sum(k) AS n, sum(k * (k - 1) / 2) AS same, sum(CASE WHEN rank > 0 THEN k * abs(rank - 4) ELSE 0 END) AS intensity, sum(CASE WHEN rank = 4 THEN k ELSE 0 END) / sum(k) AS neutral, " + ", ".join(f"coalesce(sum(k) FILTER (rank = {i}), 0)::BIGINT AS r{i}" for i in range(8)) + " FROM c GROUP BY l_partkey, scale) "
+
+
+def part_scales(spark, d):
+    return table(spark, d, "lineitem").select("l_partkey", F.col("l_returnflag").alias("scale"), (F.floor(F.col("l_quantity") / 7.0).cast("int") % 8).alias("rank"))
+
+
+@query("rank_distribution", SCALES + "SELECT l_partkey, scale, " + ", ".join(f"r{i}" for i in range(8)) + ", CASE WHEN n > 1 THEN round(same / (n * (n - 1) / 2), 6) END AS agreement FROM s")
+def rank_distribution(spark, d):
+    c = A.rank_distribution(part_scales(spark, d), ["l_partkey", "scale"], "rank", 7)
+    return c.select("l_partkey", "scale", *[F.col("distribution")[i].alias(f"r{i}") for i in range(8)], *r6("agreement"))
+
+
+@query("expression_summary", SCALES + "SELECT l_partkey, round(sum(1 - neutral) / 3, 6) AS simple, round(sum(intensity) / 3, 6)::DOUBLE AS intensity, CASE WHEN min(n) > 1 THEN round(sum(same / (n * (n - 1) / 2)) / 3, 6) END AS agreement FROM s GROUP BY l_partkey")
+def expression_summary(spark, d):
+    return A.expression_summary(part_scales(spark, d), "l_partkey", "scale", "rank", 3).select("l_partkey", *r6("simple", "intensity", "agreement"))
+
+
 NULLED = "WITH r AS (SELECT l_partkey, CASE WHEN l_quantity <= 30 THEN (l_quantity::INT % 5) + 1 END AS v FROM lineitem), s AS (SELECT l_partkey, count(*) AS n, count(*) - count(v) AS missing, quantile_cont(v, 0.5) AS median, avg(v) AS mean, sum(CASE WHEN v = 3 THEN 1.0 ELSE 0.0 END) / count(*) AS neutral, sum(abs(v - 3)) AS intensity FROM r GROUP BY 1) "
 
 
@@ -386,6 +404,11 @@ def cluster_report(spark, d):
     return I.cluster_report(items(spark, d), "country", "spent")
 
 
+@query("cluster_significance")
+def cluster_significance(spark, d):
+    return I.cluster_significance(items(spark, d), "country", ["private", "segment", "spent"])
+
+
 @query("cluster_outlier_report")
 def cluster_outlier_report(spark, d):
     return T.cluster_outlier_report(I.cluster_report(items(spark, d), "orders", "spent"), "orders")
@@ -630,6 +653,32 @@ def moving_average(spark, d):
     return W.moving_average(table(spark, d, "events").select("user_id", "event_id", "value"), "value", "event_id", 3, "user_id").select("event_id", *r6("smooth"))
 
 
+def _convolved_sql(kernel: tuple[float, ...]) -> str:
+    half = len(kernel) // 2
+    taps = [f"coalesce({f'lag(value, {k - half})' if k >= half else f'lead(value, {half - k})'} OVER w, 0) * {x!r}" for k, x in enumerate(kernel) if x]
+    return f"SELECT event_id, round(({' + '.join(taps)}) / {sum(kernel)!r}, 6) AS smooth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
+
+
+def _convolved(spark, d, kernel):
+    return W.convolved(table(spark, d, "events").select("user_id", "event_id", "value"), "value", "event_id", kernel, "user_id").select("event_id", *r6("smooth"))
+
+
+@query("wide_average", _convolved_sql(W.WIDE_KERNEL))
+def wide_average(spark, d):
+    return _convolved(spark, d, W.WIDE_KERNEL)
+
+
+@query("trailing_average", _convolved_sql(W.TRAILING_KERNEL))
+def trailing_average(spark, d):
+    return _convolved(spark, d, W.TRAILING_KERNEL)
+
+
+@query("bin_means", "WITH e AS (SELECT label, unnest(range(64))::INT AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, feature, count(*) AS n, round(avg(x), 6) AS mean FROM e GROUP BY label, feature")
+def bin_means(spark, d):
+    m = W.bin_means(points(spark, d), "label", "vec").select(F.col("bin").alias("label"), "n", F.posexplode("mean").alias("feature", "mean"))
+    return m.select("label", "feature", "n", *r6("mean"))
+
+
 @query("weighted_union", "SELECT kind, count(*) AS n FROM (SELECT 'common' AS kind FROM supplier, range(20) UNION ALL SELECT 'rare' FROM nation, range(3)) GROUP BY kind")
 def weighted_union(spark, d):
     common, rare = table(spark, d, "supplier").select(F.lit("common").alias("kind")), table(spark, d, "nation").select(F.lit("rare").alias("kind"))

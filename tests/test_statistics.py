@@ -95,3 +95,28 @@ def test_bootstrap_query_takes_the_default(spark):
     assert got
     for g, ci in got.items():
         assert ci == I.bootstrap_interval(np.sort(values[g]))
+
+
+def test_cluster_significance_of_all_kinds(spark):
+    """Each verdict against the interval and test of its own kind; one group is out of line in everything."""
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 4}" if i < 400 else "few" if i < 410 else None, bool(rng.random() < (0.9 if i < 400 and i % 4 == 0 else 0.3)), "ab"[int(rng.random() < (0.95 if i < 400 and i % 4 == 0 else 0.4))], float(rng.normal(5.0 if i < 400 and i % 4 == 0 else 0.0))) for i in range(420)]
+    df = spark.createDataFrame(rows, "g string, flag boolean, cat string, x double")
+    got = {(r.g, r.column, r.value): r for r in I.cluster_significance(df, "g", ["flag", "cat", "x"]).collect()}
+    assert set(got) == {(f"g{k}", c, v) for k in range(4) for c, v in (("flag", None), ("cat", "a"), ("cat", "b"), ("x", None))}
+    shared = 1 - 0.95 ** (1 / 12)
+    for column, test in (("flag", I.fisher_by_group), ("cat", I.chi2_by_group), ("x", I.welch_by_group)):
+        p = {r.g: r.p for r in test(df, "g", column).collect()}
+        assert all(abs(r.p - p[g]) < 1e-12 and r.diff == (p[g] < shared) for (g, c, _), r in got.items() if c == column)
+    low = {r.g: (r.low, r.high) for r in I.jeffreys_intervals(df.where("g IS NOT NULL"), "g", "flag", shared).collect()}
+    assert all((got[g, "flag", None].low, got[g, "flag", None].high) == low[g] for g in ("g0", "g1", "g2", "g3"))
+    assert got["g0", "flag", None].side == got["g0", "cat", "b"].side == got["g0", "x", None].side == "large" and got["g0", "cat", "a"].side == "small"
+    assert all(got["g0", c, v].diff for c, v in (("flag", None), ("cat", "a"), ("x", None)))
+    assert abs(got["g1", "cat", "a"].mean + got["g1", "cat", "b"].mean - 1) < 1e-12
+
+
+def test_intervals_by_type(spark):
+    df = spark.createDataFrame([("s", float(i % 5)) for i in range(9)] + [("l", float(i % 7)) for i in range(40)], "g string, x double")
+    got = {r.g: (r.low, r.high) for r in I.value_intervals(df, "g", "x").collect()}
+    small, wide = I.bootstrap_intervals(df, "g", "x").first(), {r.g: r for r in I.mean_intervals(df, "g", "x").collect()}["l"]
+    assert got["s"] == (small.low, small.high) and got["l"] == (wide.mean - wide.half, wide.mean + wide.half)
