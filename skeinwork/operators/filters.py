@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.columns import any_of
+from skeinwork.params import Items
 
 
 def condition(entries: list[str]) -> Column:
@@ -55,7 +56,7 @@ def feature_variety(df: DataFrame, vec: str) -> DataFrame:
     return each.groupBy("feature").agg(F.count("*").alias("distinct"), F.max("c").alias("modal"), F.sum("c").alias("n"))
 
 
-def varied_features(df: DataFrame, vec: str, max_monotony: float = 0.975) -> DataFrame:
+def varied_features(df: DataFrame, vec: str, max_monotony: float = Items.max_monotony) -> DataFrame:
     """Features with more than one value of which none is more frequent than `max_monotony`, with the
     range that scales them."""
     keep = feature_variety(df, vec).where((F.col("distinct") > 1) & (F.col("modal") <= F.col("n") * max_monotony))

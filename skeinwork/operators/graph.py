@@ -9,16 +9,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skeinwork.params import Items, Representatives, Typicality
+
 from .neighbours import nearest, radius_pairs
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written once to the folder of spark.checkpoint.dir (or a temporary one, where that is unset)."""
+    """Written once to the folder of spark.checkpoint.dir. Only on a single machine, where that is unset, a
+    temporary one is made; on a cluster that is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
@@ -168,7 +173,7 @@ def prim_typicality(src: int, near: dict, target: int) -> float:
 SHIPPED_NEIGHBOURS = 5_000_000
 
 
-def typicality(near: DataFrame, ids: DataFrame, fraction: float = 0.01, least: int = 15) -> DataFrame:
+def typicality(near: DataFrame, ids: DataFrame, fraction: float = Typicality.fraction, least: int = Typicality.min_neighborhood) -> DataFrame:
     """(id, typicality): Prim's growth over the neighbour graph from each point, divided by the greatest,
     so 1 is the least typical. The neighbour table (points x k rows) is shipped to the tasks if it has at
     most SHIPPED_NEIGHBOURS rows; a larger one is refused."""
@@ -298,7 +303,7 @@ def group_representatives(points: DataFrame, group: str, metric: str = "euclidea
     return points.select(group, "id", "vec").groupBy(group).applyInPandas(run, f"g {kind}, rep long, id long").withColumnRenamed("g", group)
 
 
-def simple_representatives(points: DataFrame, density: float = 0.01, inclusion: float = 0.15, metric: str = "euclidean") -> list[tuple[int, list[int]]]:
+def simple_representatives(points: DataFrame, density: float = Representatives.density, inclusion: float = Representatives.inclusion, metric: str = "euclidean") -> list[tuple[int, list[int]]]:
     """(rep, covered) by density: with k = ⌊n·density⌋, the radius is the median distance to the k-th
     neighbour; points in the order of the sum of their neighbour distances take what is within it and not
     yet covered, if that is ⌊inclusion·k⌋ or more. The last, greedy step runs over the radius pairs of the
@@ -321,7 +326,7 @@ def simple_representatives(points: DataFrame, density: float = 0.01, inclusion:
     return out
 
 
-def dbscan(points: DataFrame, min_points: int = 3, percentile: float = 0.8, eps: float | None = None, metric: str = "euclidean") -> tuple[DataFrame, float]:
+def dbscan(points: DataFrame, min_points: int = Items.dbscan_neighbors, percentile: float = Items.dbscan_percentile, eps: float | None = None, metric: str = "euclidean") -> tuple[DataFrame, float]:
     """((id, core, label), eps): density clusters, label -1 for noise. Without eps, it is that percentile
     of the distances to the `min_points`-th neighbour, raised in steps of a hundredth while it is 0. A
     border point joins the cluster of its nearest core point (ties: least id)."""

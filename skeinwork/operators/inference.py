@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from skeinwork.functions import tails
+from skeinwork.params import Items
 
 TESTS = "col string, against string, test string, effect double, statistic double, df double, slope double, intercept double, p double"
 
@@ -158,7 +159,7 @@ def jeffreys_intervals(df: DataFrame, group: str, flag: str, bound: float = 0.05
     return with_jeffreys(s.select(group, "n", "hits"), bound)
 
 
-def bootstrap_interval(x: np.ndarray, statistic=np.mean, bound: float = 0.05, samples: int = 10_000, seed: int = 17) -> tuple[float, float]:
+def bootstrap_interval(x: np.ndarray, statistic=np.mean, bound: float = Items.alpha, samples: int = Items.bootstrap_samples, seed: int = 17) -> tuple[float, float]:
     """Bias-corrected and accelerated bootstrap; if all values are alike, that value twice."""
     x = np.asarray(x, float)
     if len(x) == 0:
@@ -176,7 +177,7 @@ def bootstrap_interval(x: np.ndarray, statistic=np.mean, bound: float = 0.05, sa
     return tuple(float(v) for v in np.quantile(draws, q))
 
 
-def bootstrap_intervals(df: DataFrame, group: str, value: str, cutoff: int = 15, bound: float = 0.05, samples: int = 10_000) -> DataFrame:
+def bootstrap_intervals(df: DataFrame, group: str, value: str, cutoff: int = Items.bootstrap_cutoff, bound: float = Items.alpha, samples: int = Items.bootstrap_samples) -> DataFrame:
     """(group, n, low, high) of the mean, for groups of fewer than `cutoff` values; only those are gathered."""
     interval = bootstrap_interval
     small = df.groupBy(group).agg(F.count(value).alias("n"), F.count("*").alias("_rows")).where((F.col("n") < cutoff) & (F.col("n") > 0))
@@ -242,7 +243,7 @@ def welch_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     return wide.select(group, "n", "mean", t.alias("t"), dof.alias("df")).withColumn("p", t_p(F.col("t"), F.col("df")))
 
 
-def cluster_report(df: DataFrame, group: str, value: str, least: int = 20, alpha: float = 0.05, columns: int = 1) -> DataFrame:
+def cluster_report(df: DataFrame, group: str, value: str, least: int = Items.significant_size, alpha: float = Items.alpha, columns: int = 1) -> DataFrame:
     """Verdicts on a numeric column in groups of `least` rows and more: small or large if the group's
     interval lies under or over that of all rows, diff if Welch's p is under the shared alpha."""
     big = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(group)
@@ -262,7 +263,7 @@ def kind_of(df: DataFrame, column: str) -> str:
     return "boolean" if isinstance(t, BooleanType) else "number" if isinstance(t, NumericType) else "category"
 
 
-def value_intervals(df: DataFrame, group: str, column: str, bound: float = 0.05, cutoff: int = 15) -> DataFrame:
+def value_intervals(df: DataFrame, group: str, column: str, bound: float = Items.alpha, cutoff: int = Items.bootstrap_cutoff) -> DataFrame:
     """(group, value, n, mean, low, high) with the interval that suits the column's type: Jeffreys's of a
     boolean's share and of each category's share (`value` names it; of the group's rows that have a
     category), the t interval of a number's mean, or the bootstrap's for groups of under `cutoff` numbers."""
@@ -285,7 +286,7 @@ def value_intervals(df: DataFrame, group: str, column: str, bound: float = 0.05,
     return out.select(F.col("_g").alias(group), none, "n", "mean", low.alias("low"), high.alias("high"))
 
 
-def cluster_significance(df: DataFrame, group: str, columns: list[str], least: int = 20, alpha: float = 0.05) -> DataFrame:
+def cluster_significance(df: DataFrame, group: str, columns: list[str], least: int = Items.significant_size, alpha: float = Items.alpha) -> DataFrame:
     """(group, column, kind, value, n, mean, low, high, all_mean, all_low, all_high, p, side, diff) of each
     column in each group of `least` rows and more; a category has a row for each of its values.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.columns import mean_vector
+from skeinwork.params import Manifold
 
 
 def rmse(x: str, r: str):
@@ -162,7 +163,7 @@ def shortest_paths(d: np.ndarray) -> np.ndarray:
     return out
 
 
-def manifold(x: np.ndarray, percentile: float = 75, multiplier: float = 1.5, neighbours: int = 3, gain: float = 0.02) -> tuple[float, list[int], float]:
+def manifold(x: np.ndarray, percentile: float = Manifold.scale_percentile, multiplier: float = Manifold.scale_multiplier, neighbours: int = Manifold.min_neighbors, gain: float = Manifold.error) -> tuple[float, list[int], float]:
     """(dimension, anchors, error) of a cluster's points: geodesic anchors, each farthest from those before
     in the sum of root distances, as long as the reconstruction gains `gain`; 1 + (anchors - 2) / 2."""
     from skeinwork.functions.vectors import distance_block

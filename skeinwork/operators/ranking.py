@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.params import Exemplars
+
 
 def multiobjective_rank(df: DataFrame, criteria: list[Column], id_col: str, partition: list[str] | None = None, out: str = "place") -> DataFrame:
     """`df` plus `out` (from 1): rows in the order in which they have appeared in the prefixes of every
@@ -25,7 +27,7 @@ def multiobjective_rank(df: DataFrame, criteria: list[Column], id_col: str, part
     return wide.withColumn(out, place).drop("_done", "_last", *[f"_r{i}" for i in range(len(cols))])
 
 
-def exemplar_scores(near: DataFrame, categories: DataFrame, skip: int = 0) -> DataFrame:
+def exemplar_scores(near: DataFrame, categories: DataFrame, skip: int = Exemplars.skip) -> DataFrame:
     """(id, category, centrality, separation, foil_rank, foil_id): how many neighbours of its category a
     point has before the (skip + 1)-th of another, and that one's distance, rank and id. Without such a
     foil, centrality is all its neighbours and separation is infinite."""
@@ -39,7 +41,7 @@ def exemplar_scores(near: DataFrame, categories: DataFrame, skip: int = 0) -> Da
     return out.select(F.col("i").alias("id"), F.col("ci").alias("category"), "centrality", F.coalesce("foil.d", F.lit(float("inf"))).alias("separation"), F.col("foil.rank").alias("foil_rank"), F.col("foil.j").alias("foil_id"))
 
 
-def exemplars(near: DataFrame, categories: DataFrame, wanted: int = 16, skip: int = 0, exclude: bool = True) -> DataFrame:
+def exemplars(near: DataFrame, categories: DataFrame, wanted: int = Exemplars.wanted, skip: int = Exemplars.skip, exclude: bool = True) -> DataFrame:
     """(category, place, id, centrality, separation, foil_rank, foil_id): the best of each category by
     centrality and separation. With `exclude`, a neighbour that comes before the foil of a better exemplar
     is passed over, as it would show the same again; that pass sees a category's best candidates alone, as
@@ -67,12 +69,31 @@ def exemplars(near: DataFrame, categories: DataFrame, wanted: int = 16, skip: in
     return todo.select(*names, "near").groupBy("category").applyInPandas(run, f"category {kind}, place int, id long, centrality long, separation double, foil_rank int, foil_id long")
 
 
-def alternative_exemplars(near: DataFrame, categories: DataFrame, k: int = 500, wanted: int = 16) -> DataFrame:
+def alternative_exemplars(near: DataFrame, categories: DataFrame, k: int = Exemplars.alt_neighborhood, wanted: int = Exemplars.wanted, exclude: bool = False) -> DataFrame:
     """(category, place, id, purity, scale): share of a point's k neighbours that are of its category, and
-    their median distance; the purest and widest first."""
+    their median distance; the purest and widest first. With `exclude`, the nearest k / 2 neighbours of a
+    better exemplar are passed over; that pass sees as many of a category as `wanted` exemplars can exclude."""
     a = categories.select(F.col("id").alias("i"), F.col("category").alias("category"))
     b = categories.select(F.col("id").alias("j"), F.col("category").alias("cj"))
     n = near.where(F.col("rank") <= k).join(a, "i").join(b, "j")
     s = n.groupBy(F.col("i").alias("id"), "category").agg(F.avg((F.col("category") == F.col("cj")).cast("double")).alias("purity"), F.percentile("d", F.lit(0.5)).alias("scale"))
     ranked = multiobjective_rank(s, [F.col("purity").desc(), F.col("scale").desc()], "id", ["category"])
-    return ranked.where(F.col("place") <= wanted).select("category", "place", "id", "purity", "scale")
+    names = ["category", "place", "id", "purity", "scale"]
+    if not exclude:
+        return ranked.where(F.col("place") <= wanted).select(names)
+    hidden_by = near.where(F.col("rank") <= k // 2).groupBy(F.col("i").alias("id")).agg(F.collect_list("j").alias("near"))
+    todo = ranked.where(F.col("place") <= wanted * (k // 2 + 1)).join(hidden_by, "id", "left")
+
+    def run(pdf):
+        hidden, keep = set(), []
+        for r in pdf.sort_values("place").itertuples():
+            if len(keep) == wanted:
+                break
+            if r.id not in hidden:
+                keep.append(r.id)
+                hidden.update(r.near if r.near is not None else [])
+        out = pdf[pdf["id"].isin(keep)].sort_values("place")
+        return out.assign(place=range(1, len(out) + 1))[names]
+
+    kind = dict(ranked.dtypes)["category"]
+    return todo.select(*names, "near").groupBy("category").applyInPandas(run, f"category {kind}, place int, id long, purity double, scale double")

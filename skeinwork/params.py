@@ -1,33 +1,10 @@
-"""Defaults of the analyses, as immutable values."""
+"""Defaults of the analyses, as immutable values that the operators take theirs from."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 
-@dataclass(frozen=True)
-class Clustering:
-    metric: str = "euclidean"
-    neighborhood_size: int = 10
-    absolute_size_threshold: int = 6
-    relative_size_threshold: float = 0.005
-    join_quality_threshold: float = 0.98
-    scale_increase_threshold: float = 1.1
-    remember: str | None = None
-
-
-@dataclass(frozen=True)
-class Selection:
-    interesting_size: int = 10
-    sifting_threshold: float = 1.0
-    sift_on: str = "mixed_quality"
-    decant_on: str = "quality"
-    condense_discriminant: str = "mean"
-    condense_quality: str = "adjusted_mixed"
-    condense_distinction: float = 0.3
-    condense_tolerance: float = 0.8
-
-
 @dataclass(frozen=True)
 class Typicality:
     fraction: float = 0.01
@@ -50,12 +27,8 @@ class Representatives:
 
 @dataclass(frozen=True)
 class Items:
-    separator: str = "|"
     alpha: float = 0.05
-    bins: int = 50
     max_monotony: float = 0.975
-    lineup_bins: int = 8
-    lineup_samples: int = 4
     significant_size: int = 20
     dbscan_neighbors: int = 3
     dbscan_percentile: float = 0.8

@@ -159,6 +159,30 @@ def test_trees_of_all_labels(spark):
         assert roots[label][0].n == len(x) and abs(roots[label][0].internal - sum(pairs.values())) < 1e-3
 
 
+def test_alternative_exemplars_keep_apart(spark):
+    """Passing over the nearest k / 2 of each one taken, by a plain loop over the ranked points."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 2, [float(v) for v in rng.normal(i % 2, 1, 2)]) for i in range(60)]
+    p = spark.createDataFrame(rows, "id long, category int, vec array<double>")
+    near, cats = N.nearest(p, 12).cache(), p.select("id", "category")
+    close = {}
+    for r in near.where("rank <= 6").collect():
+        close.setdefault(r.i, set()).add(r.j)
+    every = {}
+    for r in R.alternative_exemplars(near, cats, 12, 60).orderBy("place").collect():
+        every.setdefault(r.category, []).append(r.id)
+    got = {}
+    for r in R.alternative_exemplars(near, cats, 12, 5, exclude=True).orderBy("place").collect():
+        got.setdefault(r.category, []).append(r.id)
+    for c, ids in every.items():
+        taken, hidden = [], set()
+        for i in ids:
+            if i not in hidden and len(taken) < 5:
+                taken.append(i)
+                hidden |= close[i]
+        assert got[c] == taken
+
+
 def test_exemplars(spark):
     x = cloud()
     p = frame(spark, x).withColumn("category", (F.col("id") >= 30).cast("int"))
