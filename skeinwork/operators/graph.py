@@ -378,6 +378,39 @@ def modified_forest(edges: list[tuple[int, int, float]]) -> list[tuple[int, int,
     return out
 
 
+def group_modified_forests(edges: DataFrame, group: str) -> DataFrame:
+    """(group, fr, to, d) of `modified_forest` over each group's edges (group, fr, to, d), which meet in one
+    task: for groups of some million edges."""
+    forest = modified_forest
+
+    def run(key, pdf):
+        import pandas as pd
+
+        rows = forest(list(zip(pdf["fr"].tolist(), pdf["to"].tolist(), pdf["d"].tolist())))
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["g", "fr", "to", "d"])
+
+    kind = dict(edges.dtypes)[group]
+    return edges.select(group, "fr", "to", "d").groupBy(group).applyInPandas(run, f"g {kind}, fr long, to long, d double").withColumnRenamed("g", group)
+
+
+def group_labels(points: DataFrame, group: str, labels, metric: str = "euclidean") -> DataFrame:
+    """(group, id, label) by `labels`, a function of a distance matrix such as `agglomerative` or
+    `affinity_propagation`, in each group; for groups of some thousands."""
+    from skeinwork.functions.vectors import distance_block
+
+    kernel = distance_block
+
+    def run(key, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id", kind="stable")
+        x = np.stack(pdf["vec"])
+        return pd.DataFrame({"g": key[0], "id": pdf["id"], "label": labels(kernel(x, x, metric))})
+
+    kind = dict(points.dtypes)[group]
+    return points.select(group, "id", "vec").groupBy(group).applyInPandas(run, f"g {kind}, id long, label long").withColumnRenamed("g", group)
+
+
 def agglomerative(d: np.ndarray, clusters: int = 2) -> np.ndarray:
     """Labels of average linkage cut at so many clusters, for small distance matrices."""
     d = d.astype(float).copy()

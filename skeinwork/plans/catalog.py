@@ -486,6 +486,28 @@ def spanning_forest(spark, d):
     return G.minimum_spanning_forest(N.neighbour_edges(N.nearest(points(spark, d), 10)))
 
 
+@query("modified_forest")
+def modified_forest(spark, d):
+    edges = N.pairwise(points(spark, d), "label").select("label", F.col("i").alias("fr"), F.col("j").alias("to"), "d")
+    return G.group_modified_forests(edges, "label")
+
+
+@query("simple_representatives")
+def simple_representatives(spark, d):
+    found = G.simple_representatives(points(spark, d))
+    return spark.createDataFrame([(rep, i) for rep, ids in found for i in ids], "rep long, id long")
+
+
+@query("agglomerative_labels")
+def agglomerative_labels(spark, d):
+    return G.group_labels(points(spark, d).withColumnRenamed("label", "part"), "part", G.agglomerative)
+
+
+@query("affinity_labels")
+def affinity_labels(spark, d):
+    return G.group_labels(points(spark, d).withColumnRenamed("label", "part"), "part", G.affinity_propagation)
+
+
 FIRST = ", c AS (SELECT id, list_distance(vec, (SELECT vec FROM p WHERE id = 0)) AS c FROM p), s AS (SELECT k.i, k.j, (a.c - b.c) / greatest(1e-9, k.d) AS slope FROM k JOIN c a ON a.id = k.i JOIN c b ON b.id = k.j), t AS (SELECT i, j FROM s WHERE slope > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY slope DESC, j) = 1), w(id, root) AS (SELECT id, id FROM p UNION ALL SELECT w.id, t.j FROM w JOIN t ON w.root = t.i) SELECT id, root FROM w WHERE root NOT IN (SELECT i FROM t)"
 
 

@@ -293,3 +293,28 @@ def test_samplers_and_figures(spark):
     assert figures.correlation_series(df, "b", "x", 9).agg(F.sum("n")).first()[0] == 100
     assert figures.reversed_series(df, "b", "y").count() == 2
     assert [r.passed for r in figures.gated_correlations(df, ["x", "y"], "y").collect()] == [False, True]
+
+
+def test_group_forests_and_labels(spark):
+    """Two separate rings of points a group: labels tell the halves, and a forest joins halves only by what
+    is shorter than the greater mean edge."""
+    rows, at = [], 0
+    for g in (0, 1):
+        for half in (0.0, 50.0):
+            for k in range(8):
+                rows.append((at, g, [half + float(np.cos(k)), float(np.sin(k)) + g]))
+                at += 1
+    p = spark.createDataFrame(rows, "id long, part int, vec array<double>")
+    for method in (G.agglomerative, G.affinity_propagation):
+        got = {r.id: (r.part, r.label) for r in G.group_labels(p, "part", method).collect()}
+        assert set(got) == set(range(32)) and all(got[i][0] == i // 16 for i in got)
+        halves = [{got[i][1] for i in range(s, s + 8)} for s in (0, 8, 16, 24)]
+        assert halves[0].isdisjoint(halves[1]) and halves[2].isdisjoint(halves[3])
+    edges = N.pairwise(p, "part").select("part", F.col("i").alias("fr"), F.col("j").alias("to"), "d")
+    got, every = G.group_modified_forests(edges, "part").collect(), edges.collect()
+    for g in (0, 1):
+        want = G.modified_forest([(r.fr, r.to, r.d) for r in every if r.part == g])
+        assert sorted((r.fr, r.to) for r in got if r.part == g) == sorted((a, b) for a, b, _ in want)
+        assert all(r.fr // 8 == r.to // 8 for r in got)
+    reps = G.simple_representatives(p.withColumnRenamed("part", "label"), 0.3)
+    assert len({i for _, ids in reps for i in ids}) == sum(len(ids) for _, ids in reps) <= 32
