@@ -89,13 +89,13 @@ def hot_words(rows: DataFrame) -> np.ndarray:
 
 
 def _counter(hot):
-    """Per task: (word, salt, null, documents by class, pairs that it begins by class) and, for each left
-    neighbour of a word, (word, salt, neighbour, documents by class, 0, 0); words by their keys. Salts are 0
-    but for hot words, whose neighbours have 1 to SALTS.
+    """Per task: (salt, word, documents by class, pairs that it begins by class, null) and, for its left
+    neighbours of equal counts, (salt, word, documents with each by class, 0, 0, neighbours); words by their
+    keys. Salts are 0 but for hot words, whose neighbours have 1 to SALTS.
 
     A word or pair counts once a document: what is rare but repeated in one text says little of others.
     """
-    names = ["word", "salt", "left", "n0", "n1", "r0", "r1"]
+    names = ["salt", "word", "n0", "n1", "r0", "r1", "lefts"]
 
     def out(words, pairs):
         import pyarrow as pa
@@ -107,13 +107,19 @@ def _counter(hot):
         word, begun = word[first], left[begun]  # both sorted; what begins a pair is a word
         r = np.zeros((2, len(word)), np.int64)
         r[:, np.searchsorted(word, begun)] = r0, r1
-        none = pa.nulls(len(word), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.isin(word, hot.value).astype(np.int32)), none, *map(pa.array, (n0, n1, *r))], names)
+        warm = np.isin(word, hot.value).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(warm), pa.array(word.view(np.int64)), *map(pa.array, (n0, n1, *r)), pa.nulls(len(word), pa.list_(pa.int64()))], names)
+        if not len(left):
+            return
         first, n0, n1 = _by_class(pair_keys(left, right), z)
         left, right = left[first], right[first]
         salt = np.where(np.isin(right, hot.value), 1 + (left % np.uint64(SALTS)).astype(np.int32), 0).astype(np.int32)
-        nothing = pa.array(np.zeros(len(first), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(right.view(np.int64)), pa.array(salt), pa.array(left.view(np.int64)), pa.array(n0), pa.array(n1), nothing, nothing], names)
+        order = np.lexsort((n1, n0, salt, right))
+        left, right, salt, n0, n1 = (x[order] for x in (left, right, salt, n0, n1))
+        new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in (right, salt, n0, n1)], axis=0)]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(left)).astype(np.int32)), pa.array(left.view(np.int64)))
+        none = pa.array(np.zeros(len(new), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(salt[new]), pa.array(right[new].view(np.int64)), pa.array(n0[new]), pa.array(n1[new]), none, none, lists], names)
 
     def run(batches: Iterable) -> Iterable:
         words, pairs, held = [], [], 0
@@ -145,8 +151,9 @@ def gather(rows: DataFrame, hot: np.ndarray) -> DataFrame:
     more than a share of them.
     """
     shipped = rows.sparkSession.sparkContext.broadcast(hot)
-    each = rows.select("id", "text", "y").mapInArrow(lean(_counter(shipped)), "word long, salt int, left long, n0 long, n1 long, r0 long, r1 long")
-    pairs = each.repartition("word", "salt").groupBy("word", "salt", "left").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "r0", "r1")])
+    each = rows.select("id", "text", "y").mapInArrow(lean(_counter(shipped)), "salt int, word long, n0 long, n1 long, r0 long, r1 long, lefts array<long>")
+    each = each.repartition("word", "salt").select("word", "salt", F.explode_outer("lefts").alias("left"), "n0", "n1", "r0", "r1")
+    pairs = each.groupBy("word", "salt", "left").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "r0", "r1")])
     own = [F.sum(F.when(F.col("left").isNull(), F.col(c)).otherwise(0)).alias(c) for c in ("n0", "n1")]
     strong = F.when(F.col("left").isNotNull() & (F.greatest("n0", "n1") > PAIR_DISCOUNT), F.struct("left", "n0", "n1"))
     words = pairs.groupBy("word", "salt").agg(*own, F.sum("r0").alias("r0"), F.sum("r1").alias("r1"), F.count("left").alias("neighbours"), F.collect_list(strong).alias("told"))
