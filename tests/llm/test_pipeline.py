@@ -65,11 +65,12 @@ def test_stages_on_empty_tables(spark, tmp_path):
 def test_run_against_brute_force(spark):
     import duckdb
     import numpy as np
+    import tokenizers
     from brute import components, leaks, toxicity
 
     from skeinwork.llm import toxicity as X
     from skeinwork.llm.lines import OP10_SQL
-    from skeinwork.llm.tokens import ChunkEncoder, tokenizer_path
+    from skeinwork.llm.tokens import tokenizer_path
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
@@ -90,6 +91,6 @@ def test_run_against_brute_force(spark):
     for r in corpus_pipeline.run(spark, d).collect():
         pieces.setdefault(r.doc_id, []).append((r.start, r.ids))
     assert set(pieces) == set(want)
-    encode = ChunkEncoder(tokenizer_path()).encode
+    model = tokenizers.Tokenizer.from_file(tokenizer_path())
     for i, t in want.items():
-        assert b"".join(x for _, x in sorted(pieces[i])) == encode([t.encode()])[0] + np.array([1], "<u4").tobytes()
+        assert b"".join(x for _, x in sorted(pieces[i])) == np.array([*model.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()

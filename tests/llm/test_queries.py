@@ -7,10 +7,11 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import tokenizers
 from brute import components, leaks, toxicity
 
 from skeinwork.llm.catalog import ORACLES, QUERIES
-from skeinwork.llm.tokens import ChunkEncoder, tokenizer_path
+from skeinwork.llm.tokens import tokenizer_path
 
 DIR = "/root/testdata/sf0.001"
 
@@ -26,8 +27,8 @@ def docs():
 
 @pytest.fixture(scope="module")
 def ids(docs):
-    encode = ChunkEncoder(tokenizer_path()).encode
-    return {i: x for (i, _), x in zip(docs, encode([t.encode() for _, t in docs]))}
+    model = tokenizers.Tokenizer.from_file(tokenizer_path())
+    return {i: np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, t in docs}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
