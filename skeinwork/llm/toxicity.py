@@ -18,14 +18,14 @@ BITS = 20
 #: Entries of a block of the model that is broadcast; of more blocks each takes a pass over the texts.
 BLOCK = 2_000_000
 #: Pairs that a counting task holds before it hands their counts on.
-HELD = 1_000_000
+HELD = 500_000
 #: Rows to which the left neighbours of a hot word are dealt, the share of sampled documents that makes a
 #: word hot, and documents sampled for that; results don't depend on them.
 SALTS, HOT_SHARE, HOT_SAMPLE = 32, 0.02, 2_000
 #: Discounts (in documents) of words and of pairs, number of the words that make the worst passage, and
 #: documents that fit the calibration at most. Chosen by folds among the teaching rows alone.
 DISCOUNT, PAIR_DISCOUNT, TOP, CALIBRATION = 3.0, 10.0, 3, 12_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _PAIR, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
