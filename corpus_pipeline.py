@@ -75,7 +75,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     itself, a null id stays null; a very long text fills windows of its own and one piece more; an empty
     table gives no piece. Columns beyond id and text go.
     """
-    return packing.pack_documents(docs, tokenizer_path(), 1, cache=(150_000, 250_000))
+    return packing.pack_documents(docs, tokenizer_path(), 1, cache=(75_000, 125_000))
 
 
 STAGES = [
