@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
                     yield from flush(False)
         yield from flush(True)
 
-    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("binary").alias("text")).mapInArrow(lean(run), PIECES)
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("binary").alias("text")).mapInArrow(lean(run, encodes=True), PIECES)
 
 
 def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             before += int(offsets[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(encode), schema)
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(encode, encodes=True), schema)
     rows = rows.withColumn("part", F.spark_partition_id())
     element = "ids.list.element"
     options = {

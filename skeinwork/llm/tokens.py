@@ -126,21 +126,33 @@ def encoder(path: str, cache: tuple[int, int] | None = None) -> ChunkEncoder:
     return state["encoder", path, cache]
 
 
-def lean(run: Callable[[Iterable], Iterable]) -> Callable[[Iterable], Iterable]:
-    """`run`, which at its end gives memory that it no longer uses back to the system: the worker process
-    lives on, and its next task may be another stage's."""
+def trim() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    import ctypes
 
-    def wrapped(batches: Iterable) -> Iterable:
-        import ctypes
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its memory
+        pass
 
-        import pyarrow as pa
 
+def lean(run: Callable[[Iterable], Iterable], encodes: bool = False) -> Callable[[Iterable], Iterable]:
+    """`run`, which at its end gives memory that it no longer uses back to the system: the worker process
+    lives on, and its next task may be another stage's. What another stage's encoders left in the worker
+    goes at its start, unless it `encodes` itself."""
+    state, tidy = worker_state, trim
+
+    def wrapped(batches: Iterable) -> Iterable:
+        left = [] if encodes else [k for k in state() if isinstance(k, tuple)]
+        for k in left:
+            del state()[k]
+        if left:
+            tidy()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: it keeps its memory
-            pass
+        tidy()
 
     return wrapped
 

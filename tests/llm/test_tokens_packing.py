@@ -101,3 +101,12 @@ def test_token_files(spark, documents, tmp_path, encoding):
 def test_empty_token_files(spark, documents, tmp_path):
     tokenfiles.write_tokens(documents([]), f"file://{tmp_path}/none", tokenizer_path(), 2)
     assert tokenfiles.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_other_stages_drop_what_encoders_left():
+    from skeinwork.llm import tokens as T
+
+    key = ("encoder", "test", None)
+    T.worker_state()[key] = object()
+    assert list(T.lean(lambda b: b, encodes=True)([1])) == [1] and key in T.worker_state()
+    assert list(T.lean(lambda b: b)([1, 2])) == [1, 2] and key not in T.worker_state()
