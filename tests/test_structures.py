@@ -318,3 +318,32 @@ def test_group_forests_and_labels(spark):
         assert all(r.fr // 8 == r.to // 8 for r in got)
     reps = G.simple_representatives(p.withColumnRenamed("part", "label"), 0.3)
     assert len({i for _, ids in reps for i in ids}) == sum(len(ids) for _, ids in reps) <= 32
+
+
+def test_trees_of_points_keep_no_matrix():
+    """Prim's rows give Kruskal's tree, ties and copies too, in memory far under a distance matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(120, 5)), rng.integers(0, 3, (90, 3)).astype(float), np.zeros((20, 2)), np.repeat(rng.normal(size=(30, 4)), 3, 0), rng.normal(size=(1, 4))):
+        assert G.tree_of_points(x) == G.tree_of(np.arange(len(x)), distance_block(x, x))
+    x = rng.normal(size=(1500, 8))
+    tracemalloc.start()
+    G.tree_of_points(x)
+    assert tracemalloc.get_traced_memory()[1] < 1500 * 1500 * 8 / 4
+    tracemalloc.stop()
+
+
+def test_tables_without_lists(spark):
+    """Links alone give the pairs, statistics and choices that whole lists of points give."""
+    x = np.concatenate([cloud(), np.cumsum(np.linspace(1, 2, 40))[:, None] * [9.0, 0.0]])
+    p = frame(spark, x)
+    whole = K.multiscale(p, "label")
+    bare = K.multiscale(p, "label", lists=False)
+    assert "vertices" not in bare.columns and sorted(bare.collect()) == sorted(whole.select(bare.columns).collect())
+    got = sorted(K.overlaps(bare, "label", held=50).collect())
+    assert got and got == sorted(K.overlaps(whole, "label").collect())
+    assert sorted(K.isolation(p, K.multiscale(p, "label", tops=True), "label").collect()) == sorted(K.isolation(p, whole, "label").collect())
+    t = K.dendrogram(np.arange(len(x)), G.tree_of_points(x))
+    for choose in (K.decant_best, K.condense_best, K.find_all_largest):
+        assert list(choose(t)["id"]) == list(choose(t.drop(columns=["lo", "hi"]))["id"])
