@@ -370,3 +370,78 @@ def test_search_in_chunks(spark, monkeypatch):
         assert sorted(R.exemplars_of(named, 20, 5, skip).collect()) == sorted(R.exemplars(near, cats, 5, skip).collect())
     a, b = (sorted(t.collect()) for t in (R.alternative_exemplars_of(named, 20, 5), R.alternative_exemplars(near, cats, 20, 5, exclude=True)))
     assert [r[:3] for r in a] == [r[:3] for r in b] and np.allclose([r[3:] for r in a], [r[3:] for r in b])
+
+
+def test_chains_of_a_forest_in_parts(spark):
+    """Many parts give each pair once, of one tree alone, without a group too."""
+    edges = [(0, 5, 2.0), (5, 3, 1.0), (3, 9, 4.0), (20, 21, 1.0), (21, 22, 1.0)]
+    got = G.chain_distances(spark.createDataFrame(edges, "fr long, to long, d double"), held=2).collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 2.0), (0, 5, 2.0), (0, 9, 4.0), (3, 5, 1.0), (3, 9, 4.0), (5, 9, 4.0), (20, 21, 1.0), (20, 22, 1.0), (21, 22, 1.0)]
+
+
+def test_pairs_in_blocks(spark):
+    x = cloud(4, 50)
+    p = frame(spark, np.concatenate([x, [[0.0, 0.0]]])).withColumn("label", (F.col("id") % 3).cast("int"))
+    for metric in ("euclidean", "cosine"):
+        d = distance_block(np.concatenate([x, [[0.0, 0.0]]]), np.concatenate([x, [[0.0, 0.0]]]), metric)
+        got = {(r.i, r.j): r.d for r in N.pairwise(p, "label", metric, block=7).collect()}
+        assert set(got) == {(i, j) for i, j in itertools.combinations(range(51), 2) if i % 3 == j % 3}
+        assert all((v is None and np.isnan(d[k])) or abs(v - d[k]) < 1e-12 for k, v in got.items())
+
+
+def test_labels_and_forests_of_half_matrices():
+    """Average linkage against the plain search of the whole matrix, and forests against a plain walk; ties too."""
+
+    def plain_linkage(d, clusters=2):
+        d = d.copy()
+        np.fill_diagonal(d, np.inf)
+        label, count = np.arange(len(d)), np.ones(len(d))
+        for _ in range(len(d) - clusters):
+            a, b = sorted(np.unravel_index(d.argmin(), d.shape))
+            d[a] = d[:, a] = (count[a] * d[a] + count[b] * d[b]) / (count[a] + count[b])
+            d[b] = d[:, b] = d[a, a] = np.inf
+            count[a] += count[b]
+            label[label == b] = a
+        return np.unique(label, return_inverse=True)[1]
+
+    def plain_forest(edges):
+        tree = {}
+        out = []
+        for a, b, d in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+            x, y = tree.setdefault(a, [{a}, 0.0]), tree.setdefault(b, [{b}, 0.0])
+            m, n = len(x[0]), len(y[0])
+            if x is y or (m > 1 and n > 1 and d >= max(x[1], y[1])):
+                continue
+            new = [x[0] | y[0], (d + (m - 1) * x[1] + (n - 1) * y[1]) / (m + n - 1)]
+            tree.update(dict.fromkeys(new[0], new))
+            out.append((a, b, d))
+        return out
+
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(size=(70, 3)), rng.integers(0, 3, (60, 2)).astype(float), np.repeat(rng.normal(size=(20, 2)), 2, 0), rng.normal(size=(2, 2)), rng.normal(size=(1, 2))):
+        d = distance_block(x, x)
+        for clusters in (2, 5):
+            want = plain_linkage(d, clusters)
+            assert (G.agglomerative(d, clusters) == want).all() and (G.average_linkage(*G.condensed(x), clusters) == want).all()
+        edges = [(i, j, float(d[i, j])) for i, j in itertools.combinations(range(len(x)), 2)]
+        assert G.modified_forest(edges) == plain_forest(edges) == G.modified_forest_of_points(x, held=50)
+
+
+def test_growth_offers_one_neighbour_at_a_time():
+    """Typicality by a heap of all outside neighbours, on a graph with ties."""
+    import heapq
+
+    rng = np.random.default_rng(2)
+    near = {i: sorted((float(rng.integers(1, 6)), int(j)) for j in rng.choice(40, 6, False) if j != i) for i in range(40)}
+    for src in range(40):
+        inside, heap, longest, total, steps = {src}, list(near[src]), 0.0, 0.0, 0
+        heapq.heapify(heap)
+        while heap and len(inside) < 15:
+            d, j = heapq.heappop(heap)
+            if j not in inside:
+                inside.add(j)
+                longest, steps = max(longest, d), steps + 1
+                total += longest
+                for e in near[j]:
+                    heapq.heappush(heap, e)
+        assert G.prim_typicality(src, near, 15) == total / steps
