@@ -32,12 +32,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     def encode(batches: Iterable) -> Iterable:
         import pyarrow as pa
 
-        enc, before, end = encoder(tokenizer), 0, np.array([end_id], "<u4").tobytes()
+        enc, before = encoder(tokenizer), 0
         for b in slices(batches, lambda x: text_bytes(x.column(1)), BATCH_BYTES):
-            out = [x + end for x in enc.encode(b.column(1).to_pylist())]
-            n = np.array([len(x) // 4 for x in out], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+            flat, at = enc.encode_column(b.column(1))
+            n, offsets = np.diff(at) + 1, at + np.arange(len(at))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.insert(flat, at[1:], end_id).view("<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(offsets[:-1] + before), ids], ["doc_id", "n_tokens", "part_start", "ids"])
             before += int(offsets[-1])
 

@@ -46,6 +46,20 @@ def test_encoder_forgets_without_harm(monkeypatch):
             assert np.frombuffer(enc.encode([(t or "").encode()])[0], "<u4").tolist() == _ids(t)
 
 
+def test_encoder_parts_texts_by_columns():
+    """Python meets a batch's distinct parts alone, also in a slice and in bytes that are no UTF-8."""
+    pa = pytest.importorskip("pyarrow")
+    model = tokenizers.Tokenizer.from_file(tokenizer_path())
+    enc = ChunkEncoder(tokenizer_path())
+    asked, runs = [], enc.runs.of
+    enc.runs.of = lambda keys: asked.extend(keys) or runs(keys)
+    texts = [b"left out", b"The the, THE. the; " * 500, None, b"", b" \xff\xfe the caf\xc3 \xc3\xa9t\xc3\xa9!? ", " ß ÿ÷ straße... 3x the--".encode()]
+    flat, at = enc.encode_column(pa.array(texts, pa.binary())[1:])
+    want = [model.encode((t or b"").decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts[1:]]
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    assert sorted(asked) == sorted(w.encode() for w in ("the", "été", "ß", "straße"))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_pack_covers_everything(seed):
     rng = random.Random(seed)
