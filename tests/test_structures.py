@@ -102,6 +102,19 @@ def test_condensed_finds_both_clouds(spark):
     assert iso.between(0, 2).all()
 
 
+def test_smallest_condensed_makes_no_lists(spark):
+    """The same as by the clusters' lists, without making them."""
+    from skeinwork.plans import catalog
+
+    r = np.random.default_rng(8)
+    for x in (cloud(), r.normal(size=(150, 3)).round(1), np.repeat(r.normal(size=(12, 2)), 6, 0), np.zeros((1, 2)), np.cumsum(r.uniform(1, 2, (70, 1)), 0) ** 2):
+        p = frame(spark, x)
+        want = sorted(K.assignments(p, K.condensed(p, "label"), "label").collect())
+        assert sorted(K.smallest_condensed(p, "label").collect()) == want and len(want) == len(x)
+    plan = catalog.QUERIES["assignments"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "vertices" not in plan
+
+
 def test_fixed_graph(spark):
     p = frame(spark, EIGHT)
     tree = G.group_trees(p, "label")
