@@ -69,13 +69,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids. Workers that served other stages hold memory of
-    theirs, so the tokenizer's caches are small.
+    theirs, so the tokenizer's caches are small, and texts come to it 1 MB at a time.
 
     A null or empty text is its end id alone; rows that repeat an id or a text are packed each by
     itself, a null id stays null; a very long text fills windows of its own and one piece more; an empty
     table gives no piece. Columns beyond id and text go.
     """
-    return packing.pack_documents(docs, tokenizer_path(), 1, cache=(75_000, 125_000))
+    return packing.pack_documents(docs, tokenizer_path(), 1, cache=(25_000, 125_000), batch_bytes=1 << 20)
 
 
 STAGES = [

@@ -92,7 +92,7 @@ def balanced_steps(windows: list[list[Piece]], size: int = STEP_WINDOWS) -> list
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, step_id long, ids binary"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, group_tokens: int = GROUP_TOKENS, cache: tuple[int, int] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, group_tokens: int = GROUP_TOKENS, cache: tuple[int, int] | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per piece, in the schema PIECES (ids: little-endian unsigned 32-bit; null unless
     `with_ids`).
 
@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tupl
                 names = [c.split()[0] for c in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, cols)], names)
 
-        for b in slices(batches, lambda x: text_bytes(x.column(1)), BATCH_BYTES):
+        for b in slices(batches, lambda x: text_bytes(x.column(1)), batch_bytes):
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
                 held[state["doc"]] = (doc_id, ids + end)
                 pieces.append((len(ids) // 4 + 1, state["doc"], 0))

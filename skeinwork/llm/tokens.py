@@ -173,14 +173,14 @@ def trim() -> None:
 def lean(run: Callable[[Iterable], Iterable], encodes: bool = False) -> Callable[[Iterable], Iterable]:
     """`run`, which at its end gives memory that it no longer uses back to the system: the worker process
     lives on, and its next task may be another stage's. What another stage's encoders left in the worker
-    goes at its start, unless it `encodes` itself."""
+    goes at its start, unless it `encodes` itself; what they had in use is given back in any case."""
     state, tidy = worker_state, trim
 
     def wrapped(batches: Iterable) -> Iterable:
         left = [] if encodes else [k for k in state() if isinstance(k, tuple)]
         for k in left:
             del state()[k]
-        if left:
+        if left or encodes:
             tidy()
         yield from run(batches)
         tidy()

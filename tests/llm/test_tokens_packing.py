@@ -124,3 +124,13 @@ def test_other_stages_drop_what_encoders_left():
     T.worker_state()[key] = object()
     assert list(T.lean(lambda b: b, encodes=True)([1])) == [1] and key in T.worker_state()
     assert list(T.lean(lambda b: b)([1, 2])) == [1, 2] and key not in T.worker_state()
+
+
+def test_an_encoding_task_begins_tidy(monkeypatch):
+    """What other stages had in use goes before texts are encoded, not only afterwards."""
+    import skeinwork.llm.tokens as T
+
+    calls = []
+    monkeypatch.setattr(T, "trim", lambda: calls.append(1))
+    run = iter(T.lean(lambda b: b, encodes=True)([1]))
+    assert next(run) == 1 and calls == [1] and list(run) == [] and calls == [1, 1]
