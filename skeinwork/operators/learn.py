@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.columns import mean_vector
+from skeinwork.functions.vectors import distance_block
 from skeinwork.params import Manifold
 
+from .graph import condensed
+
 
 def rmse(x: str, r: str):
     """Root of the mean squared difference of two array columns."""
@@ -163,38 +166,114 @@ def shortest_paths(d: np.ndarray) -> np.ndarray:
     return out
 
 
+class Links:
+    """The graph of points where two are linked that are at most the greater of their own reaches apart: an
+    own reach is that to the last of some nearest points, or `multiplier` times the percentile of all those
+    distances if that is more. Half a matrix, 8 bytes a pair; paths are sought from one point at a time."""
+
+    def __init__(self, x: np.ndarray, percentile: float, multiplier: float, neighbours: int) -> None:
+        n = len(x)
+        self.d, self.start = condensed(x)
+        self.before = self.start - np.arange(n) - 1
+        self.near = np.empty((n, max(min(neighbours, n - 1), 0)))
+        for i in range(n):
+            row = self.row(i)
+            row[i] = np.inf
+            self.near[i] = np.sort(np.partition(row, self.near.shape[1] - 1)[: self.near.shape[1]]) if n > 1 else 0
+        reach = np.percentile(self.near, percentile) * multiplier if n > 1 else 0.0
+        reach = np.maximum(reach, self.near.max(1, initial=0))
+        for i in range(n - 1):
+            part = self.d[self.start[i] : self.start[i] + n - 1 - i]
+            part[part > np.maximum(reach[i], reach[i + 1 :])] = np.inf
+
+    def row(self, i: int) -> np.ndarray:
+        n = len(self.start)
+        out = np.empty(n)
+        out[:i], out[i] = self.d[self.before[:i] + i], 0
+        out[i + 1 :] = self.d[self.start[i] : self.start[i] + n - 1 - i]
+        return out
+
+    def paths(self, source: int) -> np.ndarray:
+        """The lengths of the shortest paths from a point (inf: none), by Dijkstra's algorithm."""
+        out = self.row(source)
+        todo = out.copy()
+        todo[source] = np.inf
+        while True:
+            k = int(todo.argmin())
+            if not todo[k] < np.inf:
+                return out
+            way = self.row(k) + out[k]
+            better = np.flatnonzero(way < out)
+            out[better] = todo[better] = way[better]
+            todo[k] = np.inf
+
+    def longest(self) -> float:
+        """The longest of all shortest paths between points that have one. Paths from a point bound those of
+        the points that it reaches; points that can't have a longer one are passed over."""
+        n, best = len(self.start), 0.0
+        upper, lower, high = np.full(n, np.inf), np.zeros(n), True
+        while (left := np.flatnonzero(upper > best * (1 + 1e-12))).size:
+            fresh = left[np.isinf(upper[left])]
+            i = int(fresh[0] if len(fresh) else left[upper[left].argmax() if high else lower[left].argmin()])
+            high = not high
+            way = self.paths(i)
+            at = np.flatnonzero(np.isfinite(way))
+            far = way[at].max()
+            best = max(best, float(far))
+            lower[at] = np.maximum(lower[at], np.maximum(way[at], far - way[at]))
+            upper[at] = np.minimum(upper[at], way[at] + far)
+            upper[i] = -1.0
+        return best
+
+
+def nearest_rows(x: np.ndarray, k: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(at, d) of the k nearest other rows of each, ties by place, a block of rows at a time."""
+    at, d = np.empty((len(x), k), int), np.empty((len(x), k))
+    for s in range(0, len(x), block):
+        e = np.concatenate([distance_block(x[s : s + block], x[c : c + 2048]) for c in range(0, len(x), 2048)], 1)
+        e[np.arange(len(e)), np.arange(s, s + len(e))] = np.inf
+        row, col = np.nonzero(e <= np.partition(e, k - 1, axis=1)[:, k - 1 : k])
+        order = np.lexsort((col, e[row, col], row))
+        first = order[np.searchsorted(row, np.arange(len(e)))[:, None] + np.arange(k)]
+        at[s : s + block], d[s : s + block] = col[first], e[row[first], col[first]]
+    return at, d
+
+
 def manifold(x: np.ndarray, percentile: float = Manifold.scale_percentile, multiplier: float = Manifold.scale_multiplier, neighbours: int = Manifold.min_neighbors, gain: float = Manifold.error) -> tuple[float, list[int], float]:
     """(dimension, anchors, error) of a cluster's points: geodesic anchors, each farthest from those before
-    in the sum of root distances, as long as the reconstruction gains `gain`; 1 + (anchors - 2) / 2."""
-    from skeinwork.functions.vectors import distance_block
-
-    d = distance_block(x, x)
+    in the sum of root distances, as long as the reconstruction gains `gain`; 1 + (anchors - 2) / 2. Points
+    without a path are twice the longest path apart. 8 bytes a pair of points; paths from the anchors alone,
+    and, where not all points are linked, from as many more as the longest path takes."""
     n = len(x)
-    near = np.sort(d, axis=1)[:, 1 : neighbours + 1]
-    reach = np.percentile(near, percentile) * multiplier if n > 1 else 0.0
-    link = np.where(d <= np.maximum(reach, near.max(1))[:, None], d, np.inf)
-    paths = shortest_paths(np.minimum(link, link.T))
-    finite = paths[np.isfinite(paths)].max() if n else 0.0
-    paths = np.where(np.isfinite(paths), paths, finite * 2)
-    edge = near.mean() if n > 1 else 1.0
-    first = int(paths[0].argmax())
-    anchors = [first, int(paths[first].argmax())]
+    links = Links(x, percentile, multiplier, neighbours)
+    edge = links.near.mean() if n > 1 else 1.0
+    known: dict[int, np.ndarray] = {}
+    none: list[float] = []
+
+    def paths(i: int) -> np.ndarray:
+        if i not in known:
+            way = links.paths(i)
+            if np.isinf(way).any():
+                if not none:
+                    none.append(links.longest() * 2)
+                way[np.isinf(way)] = none[0]
+            known[i] = way
+        return known[i]
+
+    first = int(paths(0).argmax())
+    anchors = [first, int(paths(first).argmax())]
 
     def error(anchors: list[int]) -> float:
-        inner = paths[:, anchors]
+        inner = np.stack([paths(a) for a in anchors], 1)
         inner = inner / np.maximum(inner.sum(1, keepdims=True), 1e-12)
-        e = distance_block(inner, inner)
-        np.fill_diagonal(e, np.inf)
-        k = min(max(neighbours, 1), n - 1)
-        at = np.argsort(e, axis=1, kind="stable")[:, :k]
-        dist = np.take_along_axis(e, at, 1)
+        at, dist = nearest_rows(inner, min(max(neighbours, 1), n - 1))
         w = np.cos(np.pi / 2 * dist / np.maximum(dist.max(1, keepdims=True) * 1.0001, 1e-12))
         rec = (x[at] * w[..., None]).sum(1) / np.maximum(w.sum(1), 1e-12)[:, None]
         return float(np.median(np.sqrt(((rec - x) ** 2).sum(1))) / max(edge, 1e-12))
 
     best = error(anchors) if n > 2 else 0.0
     while n > len(anchors):
-        score = np.sqrt(paths[:, anchors]).sum(1) ** 2
+        score = np.sqrt(np.stack([paths(a) for a in anchors], 1)).sum(1) ** 2
         score[anchors] = -1
         more = [*anchors, int(score.argmax())]
         e = error(more)
@@ -205,7 +284,8 @@ def manifold(x: np.ndarray, percentile: float = Manifold.scale_percentile, multi
 
 
 def manifolds(points: DataFrame, group: str) -> DataFrame:
-    """(group, dimension, anchors, error) of each group of points (group, id, vec), a task a group."""
+    """(group, dimension, anchors, error) of each group of points (group, id, vec), a task a group, in which
+    10,000 points take 400 MB."""
     measure = manifold
 
     def run(key, pdf):

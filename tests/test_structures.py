@@ -278,6 +278,32 @@ def test_features(spark):
     assert dim >= 1 and len(set(anchors)) == len(anchors)
 
 
+def test_manifolds_keep_no_matrix():
+    """Paths from single points are those of the whole matrix, the longest too, and a group keeps half a matrix."""
+    import tracemalloc
+
+    r = np.random.default_rng(21)
+    for x in (r.normal(size=(90, 3)), np.concatenate([r.normal(size=(30, 2)), r.normal(size=(25, 2)) + 40, [[200.0, 0.0]]]), np.repeat(r.normal(size=(12, 2)), 6, 0), np.cumsum(r.uniform(0, 1, (60, 2)), 0)):
+        links = L.Links(x, 75, 1.5, 3)
+        d = distance_block(x, x)
+        reach = np.sort(d, axis=1)[:, 1:4]
+        reach = np.maximum(np.percentile(reach, 75) * 1.5, reach.max(1))
+        whole = L.shortest_paths(np.where(d <= np.maximum(reach[:, None], reach[None, :]), d, np.inf))
+        assert np.allclose([links.paths(i) for i in range(len(x))], whole)
+        assert np.isclose(links.longest(), whole[np.isfinite(whole)].max())
+        e = d + np.diag([np.inf] * len(x))
+        at = np.argsort(e, axis=1, kind="stable")[:, :3]
+        got = L.nearest_rows(x, 3, 16)
+        assert (got[0] == at).all() and (got[1] == np.take_along_axis(e, at, 1)).all()
+    assert L.manifold(np.zeros((1, 2)))[0] == 1 and L.manifold(np.zeros((5, 2)))[0] == 1
+    x = r.normal(size=(700, 3))
+    tracemalloc.start()
+    L.manifold(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700 * 700 * 8 * 2  # with all paths: 5 matrices and more
+
+
 def test_stream(spark, tmp_path):
     from skeinwork.streaming.scores import score_stream, to_parquet
 
