@@ -304,6 +304,24 @@ def test_manifolds_keep_no_matrix():
     assert peak < 700 * 700 * 8 * 2  # with all paths: 5 matrices and more
 
 
+def test_affinity_messages_take_the_place_of_those_before():
+    """Blocks of rows give what whole matrices do, in three of them."""
+    import tracemalloc
+
+    r = np.random.default_rng(31)
+    for x in (r.normal(size=(70, 3)), np.repeat(r.normal(size=(9, 2)), 5, 0), np.zeros((1, 2)), np.arange(6.0)[:, None]):
+        d = distance_block(x, x)
+        assert (G.similarities(x, block=7) == -(d**2)).all()
+        for block in (1, 16, 1000):
+            assert (G.exemplars_of(G.similarities(x), rounds=50, block=block) == G.affinity_propagation(d, rounds=50)).all()
+    x = r.normal(size=(900, 2))
+    tracemalloc.start()
+    G.exemplars_of(G.similarities(x), rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900 * 900 * 8 * 3.6
+
+
 def test_stream(spark, tmp_path):
     from skeinwork.streaming.scores import score_stream, to_parquet
 
