@@ -322,6 +322,31 @@ def test_affinity_messages_take_the_place_of_those_before():
     assert peak < 900 * 900 * 8 * 3.6
 
 
+def test_affinity_holds_the_pairs_that_count(spark):
+    """Held messages give the labels of whole matrices, ties and copies too, in less than one matrix."""
+    import tracemalloc
+
+    r = np.random.default_rng(41)
+    far = np.concatenate([r.normal(size=(60, 4)), r.normal(size=(20, 4)) * 0.01 + 5, [[1e4] * 4]])
+    for x in (r.normal(size=(130, 3)), np.repeat(r.normal(size=(9, 2)), 5, 0), np.zeros((40, 2)), np.arange(70.0)[:, None], r.integers(0, 3, (66, 2)).astype(float), far, np.zeros((1, 2)), r.normal(size=(2, 2)), r.normal(size=(3, 2))):
+        x = np.asarray(x, np.float32)
+        for damping, rounds in ((0.5, 0), (0.5, 45), (0.9, 110)):
+            want = G.exemplars_of(G.similarities(x), damping, rounds)
+            for near, crowd in ((1, 2.0), (6, 2.0), (6, 0.2), (128, 0.5)):
+                assert (G.exemplars_of_points(x, damping=damping, rounds=rounds, near=near, crowd=crowd) == want).all()
+    x = r.normal(size=(1800, 24))
+    tracemalloc.start()
+    got = G.exemplars_of_points(x, rounds=12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == G.exemplars_of(G.similarities(x), rounds=12)).all()
+    assert peak < 1800 * 1800 * 8  # with matrices: 3.2 of them
+    rows = [(i, i % 2, x[i].tolist()) for i in range(1200)]
+    labels = {e.id: e.label for e in G.group_labels(spark.createDataFrame(rows, "id long, part int, vec array<double>"), "part", G.affinity_propagation).collect()}
+    for part in (0, 1):
+        assert [labels[i] for i in range(part, 1200, 2)] == G.affinity_propagation(distance_block(x[part:1200:2], x[part:1200:2])).tolist()
+
+
 def test_stream(spark, tmp_path):
     from skeinwork.streaming.scores import score_stream, to_parquet
 
